@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cellweft.llm import mixing
 from cellweft.llm.leak_scan import leaked_items
 from cellweft.llm.percentiles import bisect_percentiles, combine, summarise
+from cellweft.llm.sentences import split_sentences
 from cellweft.session import stored, table
 
 
@@ -78,6 +79,19 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(counts, mixing.plan(counts, table(spark, sf_dir, "mix_targets")))
 
 
+# Sentences
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sentences(table(spark, sf_dir, "documents").where("text_form = 'plain'")).distinct()
+
+
+def p8_all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, of either form, the number of its sentences and the length of the longest."""
+    spans = split_sentences(table(spark, sf_dir, "documents"))
+    return spans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.max(F.col("end_pos") - F.col("start_pos")).alias("longest"))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_percentiles": p4_percentiles,
@@ -87,6 +101,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mixture": p7_mixture,
+    "p8_found": p8_found,
+    "p8_all_texts": p8_all_texts,
 }
 
 _VALUES = """vals AS (SELECT slide_id, run_day, field_name, value FROM (
