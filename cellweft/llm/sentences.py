@@ -276,7 +276,7 @@ def train(texts: list[str], *, strength: float = 4.0, steps: int = 60) -> Model:
     return Model(w)
 
 
-def split_sentences(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = 2000, model: Model | None = None) -> DataFrame:
+def split_sentences(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = 500, model: Model | None = None) -> DataFrame:
     """(doc_id, start_pos, end_pos) of every sentence of every non-null text, positions in code points, end exclusive.
 
     The model is trained on at most `sample` of the texts unless one is given. A line break ends a sentence, blanks
