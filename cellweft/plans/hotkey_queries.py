@@ -36,7 +36,7 @@ def p3_cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-_NUM = r"TRY_CAST(nullif(regexp_extract(cluster_label, '(?i)^\s*(?:cluster)?[_\s-]?c?\s*(-?\d+)(?:\.0*)?\s*$', 1), '') AS BIGINT)"
+_NUM = r"TRY_CAST(nullif(regexp_extract(cluster_label, '(?i)^\s*(?:cluster[_\s]?|c[_\s]?)?(-?\d+)(?:\.0*)?\s*$', 1), '') AS BIGINT)"
 SQL = {
     "p3_found": " UNION ALL ".join(
         f"""SELECT '{d}' AS dataset, cluster_no FROM (SELECT {_NUM} AS cluster_no, count(*) AS n FROM {t} GROUP BY 1) WHERE cluster_no IS NOT NULL

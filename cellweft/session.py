@@ -70,5 +70,5 @@ def usable_vector(name: str, width: int):
 
 def parse_cluster(name: str):
     """The cluster number in a label, whatever its spelling (`4`, `004`, `4.0`, `c4`, `C04`, `cluster_4`, `-1`), else null."""
-    digits = F.regexp_extract(F.col(name), r"(?i)^\s*(?:cluster)?[_\s-]?c?\s*?(?<n>[-−]?\d{1,18})(?:\.0*)?\s*$", 1)
+    digits = F.regexp_extract(F.col(name), r"(?i)^\s*(?:cluster[_\s]?|c[_\s]?)?([-−]?\d{1,18})(?:\.0*)?\s*$", 1)
     return F.when(digits != "", F.translate(digits, "−", "-").cast("bigint"))
