@@ -6,13 +6,15 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellweft.llm import mixing
 from cellweft.llm.leak_scan import leaked_items
 from cellweft.llm.percentiles import bisect_percentiles, combine, summarise
 from cellweft.llm.sentences import split_sentences
 from cellweft.llm.similar_vectors import Hashing, similar_vectors
-from cellweft.session import stored, table
+from cellweft.llm.similarity_clusters import similarity_clusters
+from cellweft.session import parse_cluster, small, stored, table
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +93,44 @@ def p4_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return combine(days, ["slide_id", "field_name"], [0.5])
 
 
+# Similarity clusters
+
+_LABELS = {"codex": "codex_clusters", "cite": "cite_clusters"}
+
+
+def _labelled(spark: SparkSession, sf_dir: str, dataset: str, name: str, column: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(cell, cluster, likeness, cluster_no) of the cells in a cluster, and (cluster, major) with the commonest number, -1 and none left out (ties: the smaller)."""
+    placed = similarity_clusters(table(spark, sf_dir, name), "cell_id", column, dim).where("cluster IS NOT NULL")
+    labels = table(spark, sf_dir, _LABELS[dataset]).select("cell_id", parse_cluster("cluster_label").alias("cluster_no")).where("cluster_no IS NOT NULL").distinct()
+    both = stored(placed.join(labels, placed.id == labels.cell_id, "left").select("id", "cluster", "likeness", "cluster_no"), "labelled")
+    votes = both.where("cluster_no <> -1").groupBy("cluster", "cluster_no").agg(F.count(F.lit(1)).alias("votes"))
+    major = votes.groupBy("cluster").agg(F.max_by("cluster_no", F.struct("votes", -F.col("cluster_no"))).alias("major"), F.max("votes").alias("major_cells"))
+    return both, major
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for dataset, name, column, dim in VECTORS:
+        both, major = _labelled(spark, sf_dir, dataset, name, column, dim)
+        part = both.where("cluster_no <> -1").join(small(major), "cluster").where("cluster_no <> major").select(F.lit(dataset).alias("dataset"), F.col("id").alias("cell_id")).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per cluster its cells, its three most typical ones, and the label that most of them carry with its share of the labelled."""
+    out = None
+    for dataset, name, column, dim in VECTORS:
+        both, major = _labelled(spark, sf_dir, dataset, name, column, dim)
+        cells = both.groupBy("cluster", "id").agg(F.max("likeness").alias("likeness"), F.max(F.coalesce(F.col("cluster_no") != -1, F.lit(False)).cast("int")).alias("labelled"))
+        size = cells.groupBy("cluster").agg(F.count(F.lit(1)).alias("cells"), F.sum("labelled").alias("labelled_cells"), F.avg("likeness").alias("mean_likeness"))
+        top = cells.withColumn("rn", F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("likeness").desc(), "id"))).where("rn <= 3")
+        typical = top.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rn", "id"))).alias("t")).select("cluster", F.col("t.id").alias("typical_cells"))
+        part = size.join(typical, "cluster").join(major, "cluster", "left").select(F.lit(dataset).alias("dataset"), "cluster", "cells", "typical_cells", "mean_likeness", F.col("major").alias("common_label"), F.try_divide("major_cells", "labelled_cells").alias("common_label_share"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # Mixtures of sources
 
 
@@ -135,6 +175,8 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_percentiles": p4_percentiles,
     "p4_combined_days": p4_combined_days,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_found": p6_found,
     "p6_item_report": p6_item_report,
     "p7_found": p7_found,
