@@ -49,26 +49,39 @@ def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], ps: Sequence[
     for p in ps:
         if not 0 <= p <= 1:
             raise ValueError("percentiles lie between 0 and 1")
+    asked = F.array(*[F.struct(F.lit(float(p)).alias("_p"), F.greatest(F.lit(1), F.ceil(F.round(F.lit(float(p)) * F.col("_n"), 9))).cast("bigint").alias("_rank")) for p in ps])
+    return _at_ranks(weighted, keys, asked, splitters, block, rounds)
+
+
+def quantiles_interpolated(weighted: DataFrame, keys: Sequence[str], ps: Sequence[float], *, block: int = 50_000) -> DataFrame:
+    """(key, p, value): quantiles interpolated linearly between the two order statistics around p * (n - 1)."""
+    at = lambda p: F.lit(float(p)) * (F.col("_n") - 1)
+    sides = [F.struct(F.lit(float(p)).alias("_p"), (side(at(p)) + 1).cast("bigint").alias("_rank")) for p in ps for side in (F.floor, F.ceil)]
+    got = _at_ranks(weighted, keys, F.array_distinct(F.array(*sides)), 256, block, 12)
+    part = F.col("p") * (F.col("n") - 1) - F.floor(F.col("p") * (F.col("n") - 1))
+    both = got.groupBy(*keys, "p").agg(F.min("value").alias("_a"), F.max("value").alias("_b"), F.first("n").alias("n"))
+    return both.select(*keys, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * part).alias("value"))
+
+
+def _at_ranks(weighted: DataFrame, keys: Sequence[str], asked: Column, splitters: int, block: int, rounds: int) -> DataFrame:
+    """The values at the ranks that `asked`, an array of (_p, _rank) over a key's weight _n, names; see weighted_percentiles()."""
     ks = list(keys)
     w = weighted.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select(*ks, F.col("value").cast("double").alias("_v"), F.col("weight").cast("bigint").alias("_w"))
-    base = w.groupBy(*ks).agg(F.sum("_w").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_k"))
-    state = (
-        base.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
-        .withColumn("_rank", F.greatest(F.lit(1), F.ceil(F.round(F.col("_p") * F.col("_n"), 9))).cast("bigint"))
-        .select(*ks, "_p", "_n", "_rank", F.lit(float("-inf")).alias("_lo"), "_hi", F.lit(0).cast("bigint").alias("_below"), "_k")
-    )
+    base = w.groupBy(*ks).agg(F.sum("_w").alias("_n"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_k"))
+    state = base.select(*ks, "_n", "_hi", "_k", F.inline(asked)).select(*ks, "_p", "_n", "_rank", F.lit(float("-inf")).alias("_lo"), "_hi", F.lit(0).cast("bigint").alias("_below"), "_k")
+    by = [*ks, "_p", "_rank"]
     for _ in range(rounds):
         state = cut(state)
         if not state.where(F.col("_k") > block).limit(1).count():
             break
         wide = state.where(F.col("_k") > block)
         inside = w.join(small(wide), ks).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-        marks = inside.groupBy(*ks, "_p").agg(F.array_sort(F.array_distinct(F.expr(f"approx_percentile(_v, array({', '.join(str(i / splitters) for i in range(1, splitters))}), 10000)"))).alias("_marks"))
+        marks = inside.groupBy(*by).agg(F.array_sort(F.array_distinct(F.expr(f"approx_percentile(_v, array({', '.join(str(i / splitters) for i in range(1, splitters))}), 10000)"))).alias("_marks"))
         part = F.size(F.filter("_marks", lambda m: m < F.col("_v")))
-        sums = inside.join(marks, [*ks, "_p"]).withColumn("_part", part).groupBy(*ks, "_p", "_part").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bot"))
-        order = Window.partitionBy(*ks, "_p").orderBy("_part")  # at most `splitters` rows each
+        sums = inside.join(marks, by).withColumn("_part", part).groupBy(*by, "_part").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bot"))
+        order = Window.partitionBy(*by).orderBy("_part")  # at most `splitters` rows each
         run = (
-            sums.join(wide.select(*ks, "_p", "_n", "_rank", "_below", F.col("_lo").alias("_lo0")), [*ks, "_p"])
+            sums.join(wide.select(*by, "_n", "_below", F.col("_lo").alias("_lo0")), by)
             .withColumn("_upto", F.col("_below") + F.sum("_s").over(order))
             .withColumn("_prev", F.lag("_top").over(order))
             .where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_s") < F.col("_rank")))
@@ -76,7 +89,7 @@ def weighted_percentiles(weighted: DataFrame, keys: Sequence[str], ps: Sequence[
         )
         state = state.where(F.col("_k") <= block).unionByName(run)
     last = w.join(small(state), ks).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
-    upto = F.col("_below") + F.sum("_w").over(Window.partitionBy(*ks, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.col("_below") + F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     return (
         last.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_w") < F.col("_rank")))
         .select(*ks, F.col("_p").alias("p"), F.col("_v").alias("value"), F.col("_rank").alias("rank"), F.col("_n").alias("n"))
