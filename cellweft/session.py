@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +15,24 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 50_000
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the Python workers, once for each Spark context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    if getattr(sc, "_cellweft_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="cellweft-"), "cellweft.zip")  # read on the driver only, which serves it
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._cellweft_shipped = True
+    return spark
+
+
 def local_session(app: str = "cellweft", cores: str | int = 8, partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks (a cluster brings its own)."""
-    return (
+    return ship(
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -43,19 +60,29 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint; a lost executor costs nothing that was cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/cellweft-{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables that this application wrote; results that are not read yet need them."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: columns can be pruned and sizes are known."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a step of a loop. A table, not a checkpoint: a checkpoint keeps the estimated size of its plan, which joins of joins blow up from round to round."""
+    return stored(df, "step")
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks df for broadcast only after counting that it has at most `limit` rows; otherwise leaves the choice of join to the planner."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
