@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 _SEP, _DROP, _WORD, _CHAR = 0, 1, 2, 3
 #: Scripts written without blanks between words: each character is a symbol.
@@ -246,8 +248,8 @@ def _chain(window: np.ndarray, off: np.ndarray, m: int, gap: int) -> int:
 _FINDERS: dict = {}
 
 
-def _finder(shared, words: int, chars: int) -> Finder:
-    key = (shared.id if hasattr(shared, "id") else id(shared), words, chars)
+def _finder(key: str, shared, words: int, chars: int) -> Finder:
+    """The worker's finder of one scan, built once; `key` names the scan, as workers outlive it."""
     if key not in _FINDERS:
         _FINDERS.clear()
         _FINDERS[key] = Finder.build(shared.value, words, chars)
@@ -264,14 +266,15 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
     wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("_i"), F.col(item_text).alias("_t")).distinct()
     passes = max(1, -(-wanted.count() // items_per_pass))
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    item_type = to_arrow_type(wanted.schema["_i"].dataType)
     schema = [f.dataType.simpleString() for f in (docs.schema["doc_id"], wanted.schema["_i"])]
     out = None
     for k in range(passes):
         mine = [(r[0], r[1]) for r in wanted.where(F.pmod(F.xxhash64("_i"), F.lit(passes)) == k).collect()]
         shared = spark.sparkContext.broadcast(mine)
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = _finder(shared, words, chars)
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            finder = _finder(key, shared, words, chars)
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1).to_pylist()
                 start = 0
@@ -284,7 +287,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, *, doc_id: str = "doc_i
                     if got:
                         rows, which, held = zip(*got)
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([start + r for r in rows])), pa.array([finder.ids[i] for i in which]), pa.array(held, pa.int64()), pa.array([int(finder.lengths[i]) for i in which], pa.int64())],
+                            [ids.take(pa.array([start + r for r in rows])), pa.array([finder.ids[i] for i in which], item_type), pa.array(held, pa.int64()), pa.array([int(finder.lengths[i]) for i in which], pa.int64())],
                             names=["doc_id", "item_id", "held", "item_size"],
                         )
                     start = stop

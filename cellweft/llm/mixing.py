@@ -26,8 +26,7 @@ DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 _ENCODERS: dict = {}
 
 
-def _encoder(shared):
-    key = getattr(shared, "id", id(shared))
+def _encoder(key: str, shared):
     if key not in _ENCODERS:
         import tiktoken
 
@@ -44,7 +43,7 @@ def count_tokens(documents: DataFrame, *, text: str = "text", keep: tuple[str, .
     df = documents.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared).encode_ordinary
+        encode = _encoder(tokenizer, shared).encode_ordinary
         for b in batches:
             n = pa.array([len(encode(t.as_py())) for t in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "tokens"])
