@@ -60,13 +60,13 @@ def plain(text: str, short: int) -> str:
     if "&" in text:
         text = html.unescape(text)
     if "{{" in text:
-        keep = lambda m: " " + m[1].replace("|", " | ") + " " if _length(m[1]) >= short else ""
+        keep = lambda m: " " + m[1].replace("|", " | ") + " " if _length(m[1]) >= short else " "
         for _ in range(8):
             text, n = _INNER.subn(keep, text)
             if not n:
                 break
     if "<" in text:
-        text = _REF.sub(lambda m: f" {m[1]} " if m[1] and _length(m[1]) >= short else "", text)
+        text = _REF.sub(lambda m: f" {m[1]} " if m[1] and _length(m[1]) >= short else " ", text)
         text = _TAG.sub("", _BLOCK_TAG.sub(" ", text))
     if "[[" in text:
         text = _LINK.sub("", text)
