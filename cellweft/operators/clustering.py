@@ -34,7 +34,7 @@ def louvain(edges: DataFrame, *, levels: int = 10, sweeps: int = 12, resolution:
     total = graph.agg(F.sum("w")).first()[0]
     if not total:
         return names.select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("cluster"))
-    best = -1.0
+    best, few = -1.0, 0.005 * names.count()  # a sweep that moves so few nodes ends a level
     for level in range(levels):
         degree = stored(level_edges.groupBy("a").agg(F.sum("w").alias("k")), "degree")
         comm = cut(degree.select(F.col("a").alias("node"), F.col("a").alias("c"), "k"))
@@ -54,7 +54,7 @@ def louvain(edges: DataFrame, *, levels: int = 10, sweeps: int = 12, resolution:
             moved = cut(moved)
             n = moved.agg(F.sum(F.col("m").cast("int"))).first()[0]
             comm = moved.drop("m")
-            idle = idle + 1 if not n else 0
+            idle = idle + 1 if (n or 0) <= few else 0
             if idle >= 2:
                 break
         q = modularity(level_edges, comm, total, resolution)

@@ -7,7 +7,6 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
