@@ -32,7 +32,7 @@ _UNSPACED = ((0x0E00, 0x0E7F), (0x0E80, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17
 _BLOCK_TAG = re.compile(r"<(?:br|p|div|li|tr|td|th|hr|ref|/ref|/p|/div|/li|/td|/tr)\b[^<>]*>", re.I)
 _TAG = re.compile(r"<!--|-->|</?[a-z][^<>]*>", re.I)
 _LINK = re.compile(r"\[\[[^\[\]|]*\|")
-_REF = re.compile(r"<ref\b[^<>]*?(?:/>|>(.*?)</ref\s*>)", re.I | re.S)
+_REF = re.compile(r"<ref\b[^<>]*?(?:/>|>([^<]*(?:<(?!/?ref\b)[^<]*)*)</ref\s*>)", re.I)
 _INNER = re.compile(r"\{\{([^{}]*)\}\}")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
@@ -233,11 +233,14 @@ def _chain(window: np.ndarray, off: np.ndarray, m: int, gap: int) -> int:
     first = np.flatnonzero(new)
     last = np.concatenate([first[1:], [len(w)]]) - 1
     runs = sorted(zip(w[first].tolist(), o[first].tolist(), (w[last] - w[first] + m).tolist()))
+    longest = max(r[2] for r in runs)
     best: list[int] = []
     for j, (dw, do, dl) in enumerate(runs):
         most = dl
         for i in range(j - 1, -1, -1):
             iw, io, il = runs[i]
+            if dw - iw > gap + longest:
+                break
             cut = max(0, iw + il - dw, io + il - do)
             if cut < dl and do + dl > io + il and do > io and dw - (iw + il) <= gap:
                 most = max(most, best[i] + dl - cut)

@@ -10,6 +10,7 @@ ids, so a task that runs twice decides alike.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,27 @@ def _encoder(key: str, shared):
     return _ENCODERS[key]
 
 
+_RUN = re.compile(r"\s{1000,}")
+
+
+def _size(encoder, text: str) -> int:
+    """Tokens of a text. Very long runs of blanks overflow the tokenizer's stack: those texts are cut around the runs, where it cuts them as well."""
+    try:
+        return len(encoder.encode_ordinary(text))
+    except (KeyboardInterrupt, SystemExit):
+        raise
+    except BaseException:  # the panic of the native code is no Exception
+        total, at = 0, 0
+        for m in _RUN.finditer(text):
+            last = m.end() == len(text)
+            run = m[0] if last else m[0][:-1]  # the last blank goes with what follows
+            total += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._encode_single_piece(run))
+            at = m.end() if last else m.end() - 1
+        if not at:
+            raise
+        return total + len(encoder.encode_ordinary(text[at:]))
+
+
 def count_tokens(documents: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
     """The `keep` columns and `tokens`, the size of each non-null text. The vocabulary file is read once, on the driver."""
     with open(tokenizer, "rb") as f:
@@ -43,9 +65,9 @@ def count_tokens(documents: DataFrame, *, text: str = "text", keep: tuple[str, .
     df = documents.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, shared).encode_ordinary
+        encoder = _encoder(tokenizer, shared)
         for b in batches:
-            n = pa.array([len(encode(t.as_py())) for t in b.column(len(keep))], pa.int64())
+            n = pa.array([_size(encoder, t.as_py()) for t in b.column(len(keep))], pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], n], names=[*keep, "tokens"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[:-1]) + ", tokens bigint"

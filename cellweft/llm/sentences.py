@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -54,6 +55,8 @@ _WORD = re.compile(r"[^\W_]+(?:[̀-ͯऀ-෿]*[^\W_]*)*")
 _BEFORE = re.compile(r"[^\s(\[{«“„‘\"'/（「『]*$")
 _UNIT = re.compile(r"\d\s?[a-zа-я]$")
 _INITIAL = re.compile(r"[^\W\d_]\.")
+_SEEN = re.compile(r"\S")
+_REACH = 64  # code points on either side that a feature looks at; no abbreviation is longer
 _MARK = re.compile(r"[()（）\[\]【】「」『』“”«»‹›〈〉《》„]")
 
 #: Feature names with the prior mean of their weights (log odds of a boundary).
@@ -88,9 +91,12 @@ def _kind(c: str) -> str:
 def _features(line: str, start: int, end: int, depth: int, german: bool, after: str | None = None) -> list[int]:
     """Indices of the features of a candidate whose terminator begins at `start` and whose closing marks stop before `end`. after: the text that follows in place of the line's rest."""
     f = ["bias"]
-    rest = line[end:] if after is None else after
-    body = rest.lstrip()
-    tight = after is None and len(body) == len(rest)
+    if after is None:
+        m = _SEEN.search(line, end)
+        body = line[m.start() : m.start() + _REACH] if m else ""
+        tight = bool(m) and m.start() == end
+    else:
+        body, tight = after.lstrip()[:_REACH], False
     cluster = line[start:end]
     if cluster.isspace():
         return [_AT["bias"], _AT["blank_gap"]]
@@ -111,7 +117,8 @@ def _features(line: str, start: int, end: int, depth: int, german: bool, after:
     f.append("next_" + kind)
     starter = kind == "upper" and word.lower() in _STARTERS
     if not strong and not native and not many:
-        token = _BEFORE.search(line, 0, start)[0] if start else ""
+        near = line[max(0, start - _REACH) : start]
+        token = _BEFORE.search(near)[0]
         core = token.rstrip(".").lower()
         piece = core.rpartition(".")[2]
         if tight:
@@ -129,7 +136,7 @@ def _features(line: str, start: int, end: int, depth: int, german: bool, after:
             f.append("other")
             if starter:
                 f.append("starter_other")
-        elif len(piece) == 1 and piece.isalpha() and _kind(piece) != "plain" and not (_UNIT.search(line, 0, start) and not _INITIAL.match(body)):
+        elif len(piece) == 1 and piece.isalpha() and _kind(piece) != "plain" and not (_UNIT.search(near) and not _INITIAL.match(body)):
             f.append("initial")
         if "." in core:
             f.append("dotted")
@@ -160,22 +167,30 @@ def _candidates(line: str) -> list[tuple[int, int, int]]:
         found = sorted(found + [(m.start(), m.end()) for m in _GAP.finditer(line)])
     if not found:
         return []
-    out, stack, marks, k = [], [], [(m.start(), m[0]) for m in _MARK.finditer(line)], 0
-    closing = {m[1] for m in marks if m[1] in _OPEN_OF}
-    for s, e in found:
-        while k < len(marks) and marks[k][0] < e:
-            c = marks[k][1]
-            k += 1
-            if c == "“" and "„" in stack:
-                del stack[stack.index("„") :]
-            elif c in _OPENERS:
-                if c == "„" or any(_OPEN_OF[x] == c for x in closing):
-                    stack.append(c)
-            elif _OPEN_OF.get(c) in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(_OPEN_OF[c]) :]
-        waiting = sum(1 for o in stack if any(x[0] >= e and (_OPEN_OF.get(x[1]) == o or o == "„" and x[1] in "“”") for x in marks[k:]))
-        out.append((s, e, waiting))
-    return out
+    opened, closed = _matched(line)
+    return [(s, e, bisect_left(opened, e) - bisect_left(closed, e)) for s, e in found]
+
+
+def _matched(line: str) -> tuple[list[int], list[int]]:
+    """Places of the opening and of the closing marks of all pairs, each in order. What stays open, or was never opened, counts for nothing."""
+    stack: list[tuple[str, int]] = []
+    held: dict[str, int] = {}
+    opened, closed = [], []
+    for m in _MARK.finditer(line):
+        c = m[0]
+        want = "„" if c in "“”" and held.get("„") else _OPEN_OF.get(c)
+        if want and held.get(want):
+            while True:
+                o, at = stack.pop()
+                held[o] -= 1
+                if o == want:
+                    break
+            opened.append(at)
+            closed.append(m.start())
+        elif c in _OPENERS:
+            stack.append((c, m.start()))
+            held[c] = held.get(c, 0) + 1
+    return sorted(opened), closed
 
 
 class Model:

@@ -152,3 +152,28 @@ def test_training_moves_weights_and_keeps_cases():
         line = " ".join(c)
         assert [line[s:e] for s, e in m.spans(line)] == c
     assert np.allclose(sentences.train([]).w, sentences.Model().w)
+
+
+def test_very_long_blanks_and_nested_marks_stay_linear():
+    import time
+
+    with open(mixing.DEFAULT_TOKENIZER, "rb") as f:
+        shared = type("S", (), {"value": f.read()})
+    e = mixing._encoder("test", shared)
+    text = "a " + " " * 5000 + "b \n c" + "\n" * 3000 + "d" + " " * 2000
+
+    class Weak:
+        def encode_ordinary(self, t):
+            if t is text:
+                raise RuntimeError("overflow")
+            return e.encode_ordinary(t)
+
+        _encode_single_piece = staticmethod(e._encode_single_piece)
+
+    assert mixing._size(Weak(), text) == len(e.encode_ordinary(text))
+    assert mixing._size(e, " " * 1_000_000 + "x") > 1
+    began = time.time()
+    for t in ("(“a. " * 20000, "A. " * 50000, "<ref>" * 50000, "{{a|" * 30000):
+        sentences.Model().spans(t)
+        leak_scan.symbols([t], 10)
+    assert time.time() - began < 30
