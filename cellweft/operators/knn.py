@@ -140,7 +140,7 @@ def spatial_knn(points: DataFrame, k: int, *, axes: tuple[str, ...] = ("x", "y",
     """(q, d, rank, dist): the k nearest other cells by position, exactly, through a grid that widens where cells are sparse.
 
     points: (cell_id, axes), one row per cell. Each round looks into the 3^n cells around a point; a point is done
-    when its k-th neighbour is nearer than the side of a cell. The next round doubles the side for the rest. The
+    when k neighbours are nearer than the walls of these cells. The next round doubles the side for the rest. The
     searched points are read each round, but those that ask become few. Null and NaN positions take no part.
     """
     n = len(axes)
@@ -163,20 +163,23 @@ def spatial_knn(points: DataFrame, k: int, *, axes: tuple[str, ...] = ("x", "y",
             break
         side /= 2
     left, out = pts, None
-
+    offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(off)]) for off in product((-1, 0, 1), repeat=n)])
     for _ in range(max_rounds):
         cell = [F.floor(F.col(f"a{i}") / F.lit(side)) for i in range(n)]
-        data = pts.withColumn("key", F.xxhash64(*cell)).select("key", F.col("cell_id").alias("d"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(n)])
-        near = F.explode(F.array_distinct(F.array(*[F.xxhash64(*[c + F.lit(o) for c, o in zip(cell, off)]) for off in product((-1, 0, 1), repeat=n)])))
-        cand = left.withColumn("key", near).join(data, "key").where("cell_id <> d")
+        data = pts.select(*[c.alias(f"k{i}") for i, c in enumerate(cell)], F.col("cell_id").alias("d"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(n)])
+        last = side >= widest
+        # all points nearer than this lie in the cells looked at: a side, and what is left to the nearest wall of the own cell
+        inner = [F.col(f"a{i}") - c * F.lit(side) for i, c in enumerate(cell)]
+        reach = F.lit(float("inf")) if last else F.lit(side * (1 - 1e-9)) + F.greatest(F.lit(0.0), F.least(*[x for f in inner for x in (f, F.lit(side) - f)]))
+        asks = left.select("*", reach.alias("reach"), F.inline(offsets)).select("cell_id", "reach", *[f"a{i}" for i in range(n)], *[(cell[i] + F.col(f"o{i}")).alias(f"k{i}") for i in range(n)])
+        cand = asks.join(data, [f"k{i}" for i in range(n)]).where("cell_id <> d")
         dist = F.round(F.sqrt(sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(n)), F.lit(0.0))), DIGITS)
         top = (
-            cand.select(F.col("cell_id").alias("q"), "d", dist.alias("dist"))
+            cand.select(F.col("cell_id").alias("q"), "d", dist.alias("dist"), "reach").where(F.col("dist") < F.col("reach")).drop("reach")
             .withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "d"))).where(F.col("rank") <= k)
         )
-        last = side >= widest
-        done = top.groupBy("q").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("far")).where((F.lit(last)) | ((F.col("c") >= k) & (F.col("far") < side))).select("q")
-        top = stored(top, "near").join(done, "q", "left_semi") if last else stored(top.join(done, "q", "left_semi"), "near")
+        done = top.groupBy("q").agg(F.count(F.lit(1)).alias("c")).where(F.lit(last) | (F.col("c") >= k)).select("q")
+        top = stored(top if last else top.join(done, "q", "left_semi"), "near")
         out = top if out is None else out.unionByName(top)
         if last:
             break
