@@ -128,11 +128,13 @@ def _features(line: str, start: int, end: int, depth: int, german: bool, after:
                 f.append("tight_stop_upper")
             else:
                 f.append("tight_stop_other")
-        if core in _TITLE:
+        # of a token such as `mill.Dr` with a sentence's end inside, what follows the inner stop counts
+        known = core if "." not in core or core in _OTHER or len(piece) < 2 else piece
+        if known in _TITLE:
             f.append("title")
-        elif core in _COUNT:
+        elif known in _COUNT:
             f.append("count_digit" if kind == "digit" else "count_other")
-        elif core in _OTHER or piece in _OTHER and len(piece) > 1:
+        elif known in _OTHER:
             f.append("other")
             if starter:
                 f.append("starter_other")
@@ -240,54 +242,60 @@ class Model:
         return out
 
 
-def _examples(texts: list[str]) -> tuple[list[list[int]], list[int]]:
-    """Features and labels of the candidates whose label is certain from the layout alone."""
-    xs, ys = [], []
+def _examples(texts: list[str]) -> tuple[dict[tuple, list[int]], dict[tuple, int]]:
+    """(counts of features with a label that is certain from the layout alone, as [inside, last]; counts of the others)."""
+    known: dict[tuple, list[int]] = {}
+    open_: dict[tuple, int] = {}
     for text in texts:
         lines = [x.strip() for x in _LINE.findall(text)]
         lines = [x for x in lines if x]
         for line, after in zip(lines, [*lines[1:], ""]):
-            cand, german = _candidates(line), bool(_GERMAN.search(line))
-            for s, e, d in cand:
+            german = bool(_GERMAN.search(line))
+            for s, e, d in _candidates(line):
                 if e >= len(line):
                     if after and _kind(after[0]) in ("upper", "plain", "digit"):
-                        xs.append(_features(line, s, e, 0, german, after=" " + after))
-                        ys.append(1)
+                        known.setdefault(tuple(_features(line, s, e, 0, german, after=" " + after)), [0, 0])[1] += 1
+                    continue
+                f = tuple(_features(line, s, e, d, german))
+                if _AT["next_lower"] in f or _AT["tight_digits"] in f or line[e:].lstrip()[:1] in ",;:":
+                    known.setdefault(f, [0, 0])[0] += 1
                 else:
-                    f = _features(line, s, e, d, german)
-                    body = line[e:].lstrip()
-                    if _AT["next_lower"] in f or body[:1] in ",;:" or _AT["tight_digits"] in f:
-                        xs.append(f)
-                        ys.append(0)
+                    open_[f] = open_.get(f, 0) + 1
             if _UNPUNCTUATED.search(line[-1:]) and _UNPUNCTUATED.match(after[:1] or " "):
-                xs.append([_AT["bias"], _AT["blank_gap"]])
-                ys.append(1)
-    return xs, ys
+                known.setdefault((_AT["bias"], _AT["blank_gap"]), [0, 0])[1] += 1
+    return known, open_
 
 
-def train(texts: list[str], *, strength: float = 4.0, steps: int = 60) -> Model:
-    """Maximum a posteriori weights; `strength` is the precision of the prior around the general weights. No texts leave those."""
-    xs, ys = _examples([t for t in texts if t])
+def train(texts: list[str], *, strength: float = 1.0, weight: float = 2000.0, rounds: int = 5, steps: int = 40) -> Model:
+    """Maximum a posteriori weights by expectation and maximisation; no texts leave the general weights.
+
+    Places whose label the layout gives count as they are, the others as the model of the last round expects them.
+    `strength` is the precision of the prior around the general weights, `weight` what all examples together count.
+    """
+    known, open_ = _examples([t for t in texts if t])
     prior = np.array(list(FEATURES.values()))
-    if not xs:
+    keys = list(dict.fromkeys([*known, *open_]))
+    if not keys:
         return Model()
-    kinds: dict[tuple, list[int]] = {}
-    for x, y in zip(xs, ys):
-        kinds.setdefault(tuple(x), [0, 0])[y] += 1
-    x = np.zeros((len(kinds), len(prior)))
-    for i, k in enumerate(kinds):
+    x = np.zeros((len(keys), len(prior)))
+    for i, k in enumerate(keys):
         x[i, list(k)] = 1
-    n0, n1 = np.array(list(kinds.values()), float).T
-    scale = 200.0 / max(1.0, (n0 + n1).sum())  # the examples weigh as much as two hundred observations
+    sure = np.array([known.get(k, [0, 0]) for k in keys], float)
+    free = np.array([open_.get(k, 0) for k in keys], float)
+    scale = weight / max(1.0, sure.sum() + free.sum())
+    at = lambda w: 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
     w = prior.copy()
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (scale * (n1 - (n0 + n1) * p)) - strength * (w - prior)
-        hess = (x * (scale * (n0 + n1) * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        move = np.linalg.solve(hess, grad)
-        w += move
-        if np.abs(move).max() < 1e-8:
-            break
+    for _ in range(rounds):
+        hope = at(w)
+        n1, n = sure[:, 1] + free * hope, sure.sum(1) + free
+        for _ in range(steps):
+            p = at(w)
+            grad = x.T @ (scale * (n1 - n * p)) - strength * (w - prior)
+            hess = (x * (scale * n * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
+            move = np.linalg.solve(hess, grad)
+            w = w + move / max(1.0, np.abs(move).max())
+            if np.abs(move).max() < 1e-7:
+                break
     return Model(w)
 
 
