@@ -163,3 +163,17 @@ def test_days_combine_within_bound(spark):
         rank = sum(v <= r["value"] for v in values)
         assert abs(rank - r["p"] * len(values)) <= len(values) / 20 + 6
         assert r["n"] == len(values)
+
+
+def test_clusters_with_near_centres_stay_apart(spark):
+    rng = np.random.default_rng(4)
+    sign = rng.choice([-1.0, 1.0], 30)
+    other = sign.copy()
+    other[:10] *= -1  # two thirds of the profile is shared
+    far = rng.choice([-1.0, 1.0], 30)
+    base = np.stack([sign, other, far])
+    kind = rng.choice(3, 900, p=[0.6, 0.3, 0.1])
+    x = base[kind] * rng.uniform(0.6, 1.4, (900, 30)) + rng.normal(size=(900, 30)) * 0.3
+    got = {r["id"]: r["cluster"] for r in similarity_clusters(table(spark, [(f"c{i:03}", v.tolist()) for i, v in enumerate(x)]), "id", "vec", 30).collect()}
+    of = [{got[f"c{i:03}"] for i in range(900) if kind[i] == k} for k in range(3)]
+    assert all(len(v) == 1 for v in of) and len(set.union(*of)) == 3
