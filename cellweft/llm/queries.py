@@ -50,7 +50,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def knn_hashing(rows: int) -> Hashing:
     """Tables for k nearest at any distance: one more projection for four times the rows keeps the buckets' growth to a root of it."""
-    return Hashing(tables=4, hashes=max(4, round(math.log2(max(2, rows)) / 2) - 1), width=1.2, probes=10)
+    return Hashing(tables=4, hashes=max(4, round(math.log2(max(2, rows)) / 2) - 1), width=1.2, probes=14)
 
 
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
