@@ -16,7 +16,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -164,28 +163,28 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *, k: in
     """
     ask = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     rows = df.where(usable_vector(vec_col, dim) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("vec"), ask.alias("ask"))
-    members = stored(rows.groupBy("vec", "id").agg(F.max("ask").alias("ask")), "vectors")
-    # one representative per distinct vector, and the few members that can be anyone's neighbours
-    ranked = members.withColumn("rn", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("rn") <= k + 1)
-    few = ranked.select("vec", "id", "rn")
-    reps = few.where("rn = 1").select("vec", F.col("id").alias("rep"))
-    asked = members.where("ask").select("vec").distinct().withColumn("ask", F.lit(True))
-    reps = reps if queries is None else reps.join(asked, "vec", "left")
-    reps = stored(reps.select("rep", "vec", F.lit(True).alias("ask") if queries is None else F.coalesce("ask", F.lit(False)).alias("ask")), "vectors")
-    id_type = reps.schema["rep"].dataType.simpleString()
+    # classes of identical vectors are named by 96 bits of hashes of the vector; a vector travels once
+    name = ["h1", "h2"]
+    keyed = rows.select("id", "ask", "vec", F.xxhash64("vec").alias("h1"), F.hash("vec").alias("h2"))
+    members = stored(keyed.groupBy(*name, "id").agg(F.max("ask").alias("ask"), F.first("vec").alias("vec")), "vectors")
+    reps = stored(members.groupBy(*name).agg(F.min("id").alias("rep"), F.max("ask").alias("ask"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec")), "vectors")
+    # of a class with several members the first k + 1 can be anyone's neighbours; the window prunes before it shuffles
+    crowded = small(reps.where("n > 1").select(*name))
+    crowd = members.select(*name, "id", "ask").join(crowded, name)
+    few = crowd.withColumn("rn", F.row_number().over(Window.partitionBy(*name).orderBy("id"))).where(F.col("rn").between(2, k + 1)).select(*name, "id")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                own, _ = hashing.keys(unit(_matrix(b.column(1), dim)))
+                own, _ = hashing.keys(unit(_matrix(b.column(2), dim)))
                 yield pa.RecordBatch.from_arrays([pa.array(own.ravel().view(np.int64))], names=["key"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 b = whole.slice(at, 2000)
-                z = unit(_matrix(b.column(1), dim))
-                asks = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+                z = unit(_matrix(b.column(2), dim))
+                asks = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
                 own, more = hashing.keys(z, asks)
                 rid = np.arange(len(z))
                 q = rid[asks]
@@ -195,12 +194,13 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *, k: in
                 half = z.astype(np.float16)
                 packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * dim), len(z), [None, pa.py_buffer(np.ascontiguousarray(half).tobytes())]).cast(pa.binary())
                 take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), b.column(0).take(take), packed.take(take)], names=["key", "role", "rep", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(role), b.column(0).take(take), b.column(1).take(take), packed.take(take)], names=["key", "role", "h1", "h2", "v"])
 
-    counts = reps.mapInArrow(index, "key bigint").groupBy("key").count()
+    hashed = reps.select(*name, "vec", "ask")
+    counts = hashed.mapInArrow(index, "key bigint").groupBy("key").count()
     hot = small(stored(counts.where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "hot"))
-    placed = reps.mapInArrow(place, f"key bigint, role tinyint, rep {id_type}, v binary").join(hot, "key", "left")
-    home = F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")
+    placed = hashed.mapInArrow(place, "key bigint, role tinyint, h1 bigint, h2 int, v binary").join(hot, "key", "left")
+    home = F.pmod(F.xxhash64(*name), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     # in a bucket of several chunks a vector is searched in one of them and asks in all
     spread = (
@@ -208,19 +208,19 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *, k: in
         .when(F.col("role") == _INDEXED, F.array(F.struct(home.alias("chunk"), F.col("role").alias("role"))))
         .otherwise(F.transform(every, lambda c: F.struct(c.alias("chunk"), F.when((F.col("role") == _BOTH) & (c == home), F.lit(_BOTH)).otherwise(F.lit(_ASKS)).cast("tinyint").alias("role"))))
     )
-    blocks = placed.select("key", F.inline(spread), "rep", "v")
+    blocks = placed.select("key", F.inline(spread), *name, "v")
     block = F.xxhash64("key", "chunk")  # blocks that share a hash are compared as one: candidates are never lost
-    blocks = blocks.select(block.alias("block"), "role", "rep", "v").repartition("block").sortWithinPartitions("block", "role")
-    want, near = k + slack, None if max_distance is None else max_distance * 1.1 + 1e-4
+    blocks = blocks.select(block.alias("block"), "role", *name, "v").repartition("block").sortWithinPartitions("block", "role")
+    want, limit = k + slack, None if max_distance is None else max_distance * 1.1 + 1e-4
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(t: pa.Table) -> pa.RecordBatch:
             v = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
-            r, c, s = _pairs_of_groups(t.column("block").to_numpy(), t.column("role").to_numpy(), v, want + 1, near)
-            rep = t.column("rep").combine_chunks()
-            q, d = rep.take(pa.array(r)), rep.take(pa.array(c))
-            out = pa.table({"q": q, "d": d, "s": pa.array(s.astype(np.float32))})
-            return out.filter(pc.not_equal(out["q"], out["d"]))
+            r, c, s = _pairs_of_groups(t.column("block").to_numpy(), t.column("role").to_numpy(), v, want + 1, limit)
+            h1, h2 = t.column("h1").to_numpy(), t.column("h2").to_numpy()
+            other = (h1[r] != h1[c]) | (h2[r] != h2[c])
+            r, c, s = r[other], c[other], s[other]
+            return pa.RecordBatch.from_arrays([pa.array(h1[r]), pa.array(h2[r]), pa.array(h1[c]), pa.array(h2[c]), pa.array(s.astype(np.float32))], names=["q1", "q2", "d1", "d2", "s"])
 
         held, size = [], 0
         for b in batches:
@@ -234,29 +234,32 @@ def similar_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int, *, k: in
             last = t.column("block")[size - 1].as_py()
             cut = int(np.searchsorted(t.column("block").to_numpy(), last))  # sorted: the last block may go on
             if cut:
-                yield from done(t.slice(0, cut)).to_batches()
+                yield done(t.slice(0, cut))
                 held, size = t.slice(cut).to_batches(), size - cut
         if held:
-            yield from done(pa.Table.from_batches(held)).to_batches()
-
-    found = blocks.mapInArrow(compare, f"q {id_type}, d {id_type}, s float").groupBy("q", "d").agg(F.min("s").alias("s"))
-    best = Window.partitionBy("q").orderBy("s", "d")
-    short = found if max_distance is not None else found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= want).drop("rn")
-    vec = reps.select("rep", "vec")
-    exact = (
-        short.join(vec.select(F.col("rep").alias("q"), F.col("vec").alias("vq")), "q").join(vec.select(F.col("rep").alias("d"), F.col("vec").alias("vd")), "d")
-        .select("q", "d", pearson_distance(F.col("vq"), F.col("vd"), dim).alias("dist"))
-    )
+            yield done(pa.Table.from_batches(held))
+
+    q, d = ["q1", "q2"], ["d1", "d2"]
+    found = blocks.mapInArrow(compare, "q1 bigint, q2 int, d1 bigint, d2 int, s float").groupBy(*q, *d).agg(F.min("s").alias("s"))
+    best = Window.partitionBy(*q).orderBy("s", *d)
+    short = found if max_distance is not None else found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= want)
+    pairs = stored(short.select(*q, *d), "pairs")
+    called = lambda pair, *more: reps.select("n", "ask", F.col("h1").alias(pair[0]), F.col("h2").alias(pair[1]), *more)
+    half = stored(called(q, F.col("vec").alias("vq")).drop("n", "ask").join(small(pairs), q), "pairs")
+    exact = called(d, F.col("vec").alias("vd"), F.col("rep").alias("neighbour_id")).join(small(half), d).select(*q, *d, "neighbour_id", pearson_distance(F.col("vq"), F.col("vd"), dim).alias("dist"))
     if max_distance is not None:
         exact = exact.where(F.col("dist") <= max_distance)
-    # classes of identical vectors: each is its own nearest, and stands for its first members
-    many = few.where("rn = 2").join(reps, "vec").where("ask").select(F.col("rep").alias("q"), F.col("rep").alias("d"), F.lit(0.0).alias("dist"))
-    crowd = few.join(vec, "vec").select(F.col("rep").alias("d"), F.col("id").alias("neighbour_id"))
-    near_class = exact.unionByName(many).join(crowd, "d").select("q", "neighbour_id", "dist")
-    near_class = near_class.groupBy("q", "neighbour_id").agg(F.min("dist").alias("dist"))
-    near_class = near_class.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("dist", "neighbour_id"))).where(F.col("rn") <= (k + 1) * 2).drop("rn")
-    askers = members.where("ask").join(vec, "vec").select(F.col("rep").alias("q"), F.col("id").alias("query_id"))
-    out = askers.join(near_class, "q").where(F.col("query_id") != F.col("neighbour_id")).groupBy("query_id", "neighbour_id").agg(F.min("dist").alias("nn_dist"))
+    # a class is its own nearest, and stands for its first members: its representative and those of `few`
+    itself = reps.where("ask AND n > 1").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.col("rep").alias("neighbour_id"), F.lit(0.0).alias("dist"))
+    exact = stored(exact.unionByName(itself), "pairs")
+    others = exact.drop("neighbour_id").join(few.select(F.col("h1").alias("d1"), F.col("h2").alias("d2"), F.col("id").alias("neighbour_id")), d)
+    near = exact.unionByName(others).groupBy(*q, "neighbour_id").agg(F.min("dist").alias("dist"))
+    near = near.withColumn("rn", F.row_number().over(Window.partitionBy(*q).orderBy("dist", "neighbour_id"))).where(F.col("rn") <= (k + 1) * 2).drop("rn")
+    near = stored(near, "pairs")
+    # who asks: the members of crowded classes, the representatives of all others
+    alone = called(q, F.col("rep").alias("query_id")).where((F.col("n") == 1) & F.col("ask")).drop("n", "ask")
+    asking = crowd.where("ask").select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("id").alias("query_id")).unionByName(alone)
+    out = asking.join(small(near), q).where(F.col("query_id") != F.col("neighbour_id")).groupBy("query_id", "neighbour_id").agg(F.min("dist").alias("nn_dist"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("nn_dist", "neighbour_id"))
     return out.withColumn("nn_rank", rank).where(F.col("nn_rank") <= k).select("query_id", "neighbour_id", "nn_rank", "nn_dist")
 

@@ -177,3 +177,13 @@ def test_clusters_with_near_centres_stay_apart(spark):
     got = {r["id"]: r["cluster"] for r in similarity_clusters(table(spark, [(f"c{i:03}", v.tolist()) for i, v in enumerate(x)]), "id", "vec", 30).collect()}
     of = [{got[f"c{i:03}"] for i in range(900) if kind[i] == k} for k in range(3)]
     assert all(len(v) == 1 for v in of) and len(set.union(*of)) == 3
+
+
+def test_id_with_several_vectors_keeps_classes_apart(spark):
+    rng = np.random.default_rng(7)
+    v1, v2, far = rng.normal(size=(3, 12))
+    near2 = v2 + rng.normal(size=12) * 1e-4
+    rows = [("a", v1.tolist()), ("a", v2.tolist()), ("m", v1.tolist()), ("q", near2.tolist()), ("z", far.tolist())]
+    got = {(r["query_id"], r["neighbour_id"]): r["nn_dist"] for r in similar_vectors(table(spark, rows), "id", "vec", 12, k=5, max_distance=0.001, hashing=Hashing(3, 6, 0.6, 4)).collect()}
+    assert set(got) == {("a", "m"), ("m", "a"), ("a", "q"), ("q", "a")}
+    assert got["a", "m"] < 1e-12 < got["a", "q"]
