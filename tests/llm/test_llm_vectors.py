@@ -187,3 +187,22 @@ def test_id_with_several_vectors_keeps_classes_apart(spark):
     got = {(r["query_id"], r["neighbour_id"]): r["nn_dist"] for r in similar_vectors(table(spark, rows), "id", "vec", 12, k=5, max_distance=0.001, hashing=Hashing(3, 6, 0.6, 4)).collect()}
     assert set(got) == {("a", "m"), ("m", "a"), ("a", "q"), ("q", "a")}
     assert got["a", "m"] < 1e-12 < got["a", "q"]
+
+
+def test_small_clusters_keep_a_medoid(spark):
+    rng = np.random.default_rng(2)
+    sign = rng.choice([-1.0, 1.0], 30)
+    beside = sign.copy()
+    beside[:11] *= -1  # like the large cluster from `member` on, but apart from it
+    far = rng.choice([-1.0, 1.0], (2, 30))
+    base, size = np.stack([sign, far[0], beside, far[1]]), [9000, 9000, 30, 30]  # 30 rows are under 0.2 % of all
+    kind = np.repeat(np.arange(4), size)
+    x = base[kind] * rng.uniform(0.6, 1.4, (len(kind), 30)) + rng.normal(size=(len(kind), 30)) * 0.3
+    tokens = lambda v: Sets().tokens(unit(v))
+    lone = next(v for v in rng.normal(size=(99, 1, 30)) if jaccard(tokens(v), tokens(x)).max() < 0.4)
+    rows = [(f"c{i:05}", v.tolist()) for i, v in enumerate(x)] + [("lone", lone[0].tolist())]
+    got = {r["id"]: r["cluster"] for r in similarity_clusters(table(spark, rows), "id", "vec", 30).collect()}
+    assert None not in got.values() and len(got) == len(rows)
+    of = [{got[f"c{i:05}"] for i in np.flatnonzero(kind == k)} for k in range(4)]
+    assert all(len(v) == 1 for v in of) and len(set.union(*of)) == 4
+    assert got["lone"] not in set.union(*of)
