@@ -206,3 +206,10 @@ def test_small_clusters_keep_a_medoid(spark):
     of = [{got[f"c{i:05}"] for i in np.flatnonzero(kind == k)} for k in range(4)]
     assert all(len(v) == 1 for v in of) and len(set.union(*of)) == 4
     assert got["lone"] not in set.union(*of)
+
+
+def test_clusters_do_not_depend_on_the_chunk(spark):
+    x, _ = mixed(n=900, dim=24, kinds=3, spread=0.45, seed=5)
+    t = table(spark, [(f"c{i:03}", v.tolist()) for i, v in enumerate(x)])
+    whole, parts = ({tuple(r) for r in similarity_clusters(t, "id", "vec", 24, sets=Sets(min_share=0.05), chunk=n).collect()} for n in (4096, 16))
+    assert whole == parts
