@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -20,12 +21,14 @@ def graph_edges(neighbours: DataFrame, k: int | None = None) -> DataFrame:
     return e.groupBy(F.least("q", "d").alias("a"), F.greatest("q", "d").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
-def louvain(edges: DataFrame, *, levels: int = 10, sweeps: int = 12, resolution: float = 1.0) -> DataFrame:
+def louvain(edges: DataFrame, *, levels: int | None = None, sweeps: int | None = None, resolution: float = 1.0) -> DataFrame:
     """(cell_id, cluster): communities of high modularity of an undirected graph (a, b, w).
 
     In each sweep every node weighs the communities of its neighbours at once and moves to the best one; half of the
     nodes, by a hash that changes with the sweep, may move, which keeps pairs from swapping for ever. Communities then
-    become the nodes of the next level. All steps are joins and sums; clusters are numbered from the largest.
+    become the nodes of the next level. A level ends when no node would move, or when in four sweeps, in which each node
+    had two turns, the modularity gained less than 1e-7; the last level is the one that gains no more. `levels` and
+    `sweeps` end it earlier where given. All steps are joins and sums; clusters are numbered from the largest.
     """
     both = edges.where("a <> b").select("a", "b", "w").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).unionByName(edges.where("a = b").select("a", "b", (F.col("w") * 2).alias("w")))
     graph = stored(both, "graph")
@@ -34,12 +37,12 @@ def louvain(edges: DataFrame, *, levels: int = 10, sweeps: int = 12, resolution:
     total = graph.agg(F.sum("w")).first()[0]
     if not total:
         return names.select("cell_id", F.row_number().over(Window.orderBy("cell_id")).alias("cluster"))
-    best, few = -1.0, 0.005 * names.count()  # a sweep that moves so few nodes ends a level
-    for level in range(levels):
+    best = -1.0
+    for level in count() if levels is None else range(levels):
         degree = stored(level_edges.groupBy("a").agg(F.sum("w").alias("k")), "degree")
         comm = cut(degree.select(F.col("a").alias("node"), F.col("a").alias("c"), "k"))
-        idle = 0
-        for sweep in range(sweeps):
+        top, idle = -1.0, 0
+        for sweep in count() if sweeps is None else range(sweeps):
             size = comm.groupBy("c").agg(F.sum("k").alias("tot"))
             to = level_edges.where("a <> b").join(comm.select(F.col("node").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
             own = comm.select(F.col("node").alias("a"), F.col("c").alias("own"), "k")
@@ -49,14 +52,17 @@ def louvain(edges: DataFrame, *, levels: int = 10, sweeps: int = 12, resolution:
                 .withColumn("gain", F.col("w") - F.lit(resolution) * F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(total))
             )
             pick = gain.groupBy("a").agg(F.max_by("c", F.struct(F.round("gain", 9), (F.col("c") == F.col("own")).cast("int"), F.col("c"))).alias("to"))
-            turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(sweep)), F.lit(2)) == 0
-            moved = comm.join(pick, comm.node == pick.a).select("node", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), "k", (turn & (F.col("to") != F.col("c"))).alias("m"))
+            turn = F.pmod(F.xxhash64("node", F.lit(level), F.lit(sweep // 2)), F.lit(2)) == sweep % 2
+            moved = comm.join(pick, comm.node == pick.a).select("node", F.when(turn, F.col("to")).otherwise(F.col("c")).alias("c"), "k", (F.col("to") != F.col("c")).alias("m"))
             moved = cut(moved)
-            n = moved.agg(F.sum(F.col("m").cast("int"))).first()[0]
             comm = moved.drop("m")
-            idle = idle + 1 if (n or 0) <= few else 0
-            if idle >= 2:
+            if not moved.where("m").limit(1).count():  # of all nodes, whether or not it is their turn
                 break
+            if sweep % 2:
+                q = modularity(level_edges, comm, total, resolution)
+                idle, top = (0, q) if q > top + 1e-7 else (idle + 1, top)
+                if idle >= 2:
+                    break
         q = modularity(level_edges, comm, total, resolution)
         if q <= best + 1e-7:
             break

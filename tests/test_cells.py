@@ -199,6 +199,16 @@ def test_louvain_finds_cliques(spark):
     assert sorted(map(tuple, by.values())) == [("a",), ("b",), ("c",)]
 
 
+def test_louvain_level_ends_only_when_settled(spark):
+    # ten triangles among 6,000 cells that never move: each sweep moves less than half a percent of all
+    edges = [(f"t{g}{i}", f"t{g}{j}", 1.0) for g in range(10) for i in range(3) for j in range(i)] + [(f"s{i}", f"s{i}", 1.0) for i in range(6000)]
+    got = clustering.louvain(spark.createDataFrame(edges, "a string, b string, w double"), levels=1).where("cell_id LIKE 't%'").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["cluster"], []).append(r["cell_id"][:2])
+    assert sorted(by.values()) == [[f"t{g}"] * 3 for g in range(10)]
+
+
 def test_density_and_consensus(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(3, 10)) * 4
