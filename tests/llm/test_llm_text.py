@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -100,7 +101,7 @@ def test_token_counts(spark):
 
 
 CASES = [
-    ["Dr. Banuk measured 3.5 mm at St. Olmo before noon.", "He left for the U.S.", "Nobody followed."],
+    ["Dr. Banuk measured 3.5 mm at St. Olmo before noon.", "He left for the U.S.", "They stayed."],
     ["What?!", "A ferry without tenants?", "“Leave the mill!” Sulomond shouted at them.", "“We saw no ropes.”", "That note closed the kiln."],
     ["It cost approx. 1,812.50 crowns, i.e. 67.40 per cent.", "(The mill itself was mapped in 1707.)", "He rebuilt it (a steep one!) and left."],
     ["Wait ... the orchard was quiet.", "pH 48.5 was normal.", "Mt. Olm is 53.1 km high...", "Or so he claims."],
@@ -144,6 +145,66 @@ def test_every_character_belongs_to_one_sentence(spark):
     assert sentences.split_sentences(df.limit(0)).count() == 0
 
 
+LEARNT = {  # words that no list of the module holds: abbreviations before names, before numbers and at ends, and a starter
+    "latin": ["Messrs. {A} and {B} bought the {c} for Mme. {A}.", "The {c} of Pty. {B} fell.", "See Blk. {n} of the {c}.", "He moved to the Terr. Whoever knew {A} stayed.", "Whoever saw the {c} told {B}.", "{A} sold a {c} to {B}."],
+    "cyrillic": ["Ув. {A} купил дом для тов. {B}.", "Смотри илл. {n} в книге.", "{A} продал лодку и ушёл к {B}.", "Дом был стар."],
+}
+CASED = {"latin": (["Bano", "Kelira", "Tomun", "Serafi", "Wulgo", "Ildan", "Morvet", "Pentil"], ["barn", "wagon", "orchard", "gate"]), "cyrillic": (["Бано", "Келира", "Томун", "Серафи", "Вулго", "Илдан"], ["дом"])}
+
+
+def learnt_corpus(script, rng, n):
+    """(texts, true sentences of each): some four sentences to a line."""
+    names, things = CASED[script]
+    out = []
+    for _ in range(n):
+        lines = []
+        for _ in range(4):
+            made = []
+            for _ in range(rng.randrange(2, 7)):
+                t = rng.choice(LEARNT[script]).format(A=rng.choice(names), B=rng.choice(names), c=rng.choice(things), n=rng.randrange(2, 900))
+                made += t.replace("Terr. Who", "Terr.|Who").split("|")
+            lines.append(made)
+        out.append(("\n".join(" ".join(x) for x in lines), [s for x in lines for s in x]))
+    return out
+
+
+def f1(model, corpus):
+    same = made = true = 0
+    for text, want in corpus:
+        got = [text[s:e] for s, e in model.spans(text)]
+        same, made, true = same + sum((Counter(got) & Counter(want)).values()), made + len(got), true + len(want)
+    return 2 * same / (made + true)
+
+
+@pytest.mark.parametrize("script", LEARNT)
+def test_what_is_learnt_decides(script):
+    """On texts kept from training the untrained model loses; words outside any list are learnt from the corpus."""
+    rng = random.Random(3)
+    model = sentences.train([t for t, _ in learnt_corpus(script, rng, 80)])
+    held = learnt_corpus(script, rng, 40)
+    assert f1(sentences.Model(), held) < 0.85 and f1(model, held) > 0.99
+    same_words = sentences.Model(lexicon=model.lexicon)
+    assert not np.allclose(model.w, same_words.w)
+
+
+def test_unpunctuated_scripts_learn_from_stripped_lines():
+    """Thai: blanks around numbers, after titles and before surnames are no ends; those that look like line ends are."""
+    rng = random.Random(5)
+    names, family, ends = ["สมชาย", "มาลี", "วิชัย", "อารี", "กมล"], ["ใจดี", "รักไทย", "ทองคำ"], ["แล้วกลับบ้าน", "ที่ตลาดเก่า", "จนหมดแรง"]
+
+    def sentence():
+        a, b = rng.choice(names), rng.choice(family)
+        return rng.choice([f"คุณ {a} {b} เดินทางไปเมื่อ {rng.randrange(1, 30)} มกราคม {rng.randrange(2500, 2567)} {{}}", f"เด็กขายผลไม้ {rng.randrange(2, 90)} ลูกให้คุณ {a} {b} {{}}", "ฝนตกหนักมาก{}", "ชาวนาเกี่ยวข้าว{}"]).replace(" {}", "{}").format(rng.choice(ends))
+
+    def corpus(n):
+        return [["".join(sentence()) for _ in range(rng.randrange(1, 4))] for _ in range(n)]
+
+    lines = corpus(400)
+    model = sentences.train(["\n".join(" ".join(x) for x in lines[i : i + 8]) for i in range(0, len(lines), 8)])
+    held = [(" ".join(x), x) for x in corpus(150)]
+    assert f1(sentences.Model(), held) < 0.75 < 0.95 < f1(model, held)
+
+
 def test_training_moves_weights_and_keeps_cases():
     text = "\n".join(" ".join(c) for c in CASES) + "\n" + " ".join(THAI) + "\n" + THAI[0]
     m = sentences.train([text] * 5)
@@ -154,6 +215,12 @@ def test_training_moves_weights_and_keeps_cases():
     assert np.allclose(sentences.train([]).w, sentences.Model().w)
 
 
+def test_lexicon_of_a_table_is_that_of_its_texts(spark):
+    texts = [t for t, _ in learnt_corpus("latin", random.Random(1), 30)]
+    df = docs(spark, texts + [None, ""]).select("text")
+    assert sentences.corpus_lexicon(df) == sentences.learn_lexicon(texts)
+
+
 def test_very_long_blanks_and_nested_marks_stay_linear():
     import time
 
