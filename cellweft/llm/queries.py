@@ -194,7 +194,22 @@ _UNIT = """{d}_u AS MATERIALIZED (SELECT DISTINCT id, list_transform(c, lambda x
   SELECT cell_id AS id, list_transform({c}, lambda x: x - list_avg({c})) AS c FROM {t} WHERE cell_id IS NOT NULL AND len({c}) = {n}
   AND len(list_filter({c}, lambda x: x IS NULL OR isnan(x))) = 0 AND list_max({c}) > list_min({c})))"""
 _UNITS = ", ".join(_UNIT.format(d=d, t=t, c=c, n=n) for d, t, c, n in VECTORS)
+#: Plain shingles: the places of an item that any of its runs of five words (ten characters) covers, in the text with and without what stands in marks.
+_HELD = r"""WITH sides AS (SELECT 0 AS kind, doc_id AS id, text AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT 1, item_id, item_text FROM eval_items WHERE item_text IS NOT NULL),
+bare AS (SELECT DISTINCT kind, id, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\p{Cf}', '', 'g'), '\[\[[^\[\]|]*\|', '', 'g'), '<ref[^<>]*?/>', ' ', 'g'), '</?(b|i|em|small|span|u|sup|sub)\b[^<>]*>', '', 'g')) AS t FROM sides),
+readings AS (SELECT kind, id, t FROM bare UNION SELECT kind, id, regexp_replace(regexp_replace(regexp_replace(t, '<!--.*?-->', ' ', 'gs'), '\{\{[^{}]*\}\}', ' ', 'g'), '<ref[^<>]*>[^<]*</ref>', ' ', 'g') FROM bare),
+spaced AS (SELECT kind, id, regexp_replace(regexp_replace(regexp_replace(t, '''''+|</?[a-z][^<>]*>', '', 'g'), '([\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3041}-\x{30FF}\x{3400}-\x{9FFF}])', ' \1 ', 'g'), '[^\p{L}\p{N}\p{M}]+', ' ', 'g') AS t FROM readings),
+words AS (SELECT kind, id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM spaced),
+wide AS (SELECT id, len(list_filter(w, lambda x: len(x) = 1 AND ord(x) >= 3584)) * 2 > len(w) AS wide, w, len(w) AS n FROM words WHERE kind = 1),
+grams AS (SELECT DISTINCT id AS item_id, n, wide, i, CASE WHEN wide THEN w[i : i + 9] ELSE w[i : i + 4] END AS g FROM wide, LATERAL (SELECT unnest(generate_series(1, n - CASE WHEN wide THEN 9 ELSE 4 END)) AS i)),
+texts AS (SELECT id AS doc_id, w FROM words WHERE kind = 0),
+held AS (SELECT DISTINCT doc_id, w[i : i + 4] AS g FROM texts, LATERAL (SELECT unnest(generate_series(1, len(w) - 4)) AS i) UNION SELECT DISTINCT doc_id, w[i : i + 9] FROM texts, LATERAL (SELECT unnest(generate_series(1, len(w) - 9)) AS i) WHERE len(list_filter(w, lambda x: len(x) = 1 AND ord(x) >= 3584)) > 9),
+hits AS (SELECT DISTINCT doc_id, item_id, n, unnest(generate_series(i, i + CASE WHEN wide THEN 9 ELSE 4 END)) AS place FROM grams JOIN held USING (g)),
+leak AS (SELECT doc_id, item_id, count(DISTINCT place) AS held, n FROM hits GROUP BY doc_id, item_id, n HAVING count(DISTINCT place) * 2 >= n)"""
 SQL: dict[str, str] = {
+    "p6_found": f"{_HELD} SELECT doc_id, item_id FROM leak",
+    "p6_item_report": f"""{_HELD} SELECT item_id, item_lang, task_name, coalesce(documents, 0) AS documents, coalesce(most_held, 0.0) AS most_held FROM eval_items
+LEFT JOIN (SELECT item_id, count(*) AS documents, max(held / n) AS most_held FROM leak GROUP BY 1) USING (item_id)""",
     "p2_found": f"WITH {_UNITS} "
     + " UNION ".join(f"SELECT '{d}' AS dataset, a.id AS left_id, b.id AS right_id FROM {d}_u a JOIN {d}_u b ON a.id < b.id WHERE 1 - list_dot_product(a.u, b.u) <= 0.001" for d, *_ in VECTORS),
     # bytes in the place of tokens: the answer holds for any measure of size

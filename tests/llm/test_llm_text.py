@@ -52,12 +52,31 @@ def test_leaks_through_markup_and_noise(spark):
     table = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*items, zh, None, "", items[0]])], "item_id int, item_text string, text string")
     got = {(r["doc_id"], r["item_id"]) for r in leak_scan.leaked_items(docs(spark, texts), table).collect()}
     assert got == {(0, 0), (0, 9), (1, 1), (2, 2), (3, 3), (4, 4), (7, 6), (12, 5), (13, 5), (14, 0), (14, 9)}
-    again = {(r["doc_id"], r["item_id"]) for r in leak_scan.leaked_items(docs(spark, texts), table, items_per_pass=3, chunk_chars=500).collect()}
+    again = {(r["doc_id"], r["item_id"]) for r in leak_scan.leaked_items(docs(spark, texts), table, chars_per_pass=300, chunk_chars=500).collect()}
     assert again == got
     assert leak_scan.leaked_items(docs(spark, []), table).count() == 0
     assert leak_scan.leaked_items(docs(spark, texts), table.limit(0)).count() == 0
 
 
+def test_text_between_marks_counts_whatever_else_is_searched(spark):
+    """A passage cut into short templates, one stepped over by templates and comments, and one that is partly inside: found, alone or beside a short item."""
+    rng = random.Random(8)
+    long, split, mixed, short = passage(rng, 60), passage(rng, 60), passage(rng, 60), passage(rng, 8)
+    w, v, u = long.split(), split.split(), mixed.split()
+    texts = [
+        " ".join("{{note|" + " ".join(w[i : i + 12]) + "}}" for i in range(0, 60, 12)),
+        " ".join(x + (" {{see|other thing entirely}}" if i % 4 == 3 else "<!-- " + passage(rng, 3) + " -->" if i % 8 == 6 else "") for i, x in enumerate(v)),
+        " ".join(u[:14]) + " {{quote|" + " ".join(u[14:26]) + "}} <ref>" + passage(rng, 9) + "</ref> " + " ".join(u[26:31]) + " {{cite|x}} " + " ".join(u[31:36]),
+        "{{" * 3000 + " " + long + " " + "}}" * 2000, "<!-- " * 50 + split,
+    ]
+    for items in ([long, split, mixed], [long, split, mixed, short], [long]):
+        table = spark.createDataFrame(list(enumerate(items)), "item_id int, item_text string")
+        for chars in (10, 10_000_000):
+            got = {(r["doc_id"], r["item_id"]): r["held"] for r in leak_scan.leaked_items(docs(spark, texts), table, chars_per_pass=chars).collect()}
+            assert set(got) == {(0, 0), (3, 0), *([] if len(items) == 1 else [(1, 1), (2, 2), (4, 1)])}
+            assert got[0, 0] == 60 and (len(items) == 1 or got[1, 1] >= 58)
+
+
 def test_short_item_must_occur_whole(spark):
     table = spark.createDataFrame([(1, "alpha beta")], "item_id int, item_text string")
     got = leak_scan.leaked_items(docs(spark, ["x alpha, BETA y", "alpha x beta"]), table).collect()
@@ -242,5 +261,5 @@ def test_very_long_blanks_and_nested_marks_stay_linear():
     began = time.time()
     for t in ("(“a. " * 20000, "A. " * 50000, "<ref>" * 50000, "{{a|" * 30000):
         sentences.Model().spans(t)
-        leak_scan.symbols([t], 10)
+        leak_scan.symbols([t])
     assert time.time() - began < 30
