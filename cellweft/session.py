@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -50,10 +51,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the cluster's checkpoint folder, else (tests) a temporary one."""
+    """The folder for intermediate tables: the cluster's checkpoint folder, else (a local master only) a temporary one."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="cellweft-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -83,11 +86,25 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "step")
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Marks df for broadcast only after counting that it has at most `limit` rows; otherwise leaves the choice of join to the planner."""
+    limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def spread(big: DataFrame, few: DataFrame, limit: int | None = None, salts: int = 64) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on keys of which one may hold most rows of `big`, and the columns to add to the keys.
+
+    `few` is marked for broadcast when it is counted small. Otherwise the rows of `big` are dealt over `salts` and
+    those of `few` repeated for each, so that no key's rows meet in one task.
+    """
+    limit = BROADCAST_ROWS if limit is None else limit
+    if few.limit(limit + 1).count() <= limit:
+        return big, F.broadcast(few), []
+    deal = F.pmod(F.xxhash64(*big.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    return big.withColumn("_salt", deal), few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_salt"]
+
+
 def usable_vector(name: str, width: int):
     """True where the array has exactly `width` elements, none of them null or NaN, and not all of them equal."""
     v = F.col(name)
