@@ -189,8 +189,9 @@ def mixture(counts: DataFrame, plans: DataFrame, *, seed: int = 17, fan_in: int
 
 
 def report(mixed: DataFrame, plans: DataFrame) -> DataFrame:
-    """Per source the target and the share reached, the copies made and whether the cap kept it short."""
-    got = mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"))
-    full = plans.join(got, "source", "left").na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"])
+    """Per source the target and the share reached, the copies made, and whether the mixture falls short of the target though each document of the source is used max_repeats times."""
+    got = mixed.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("mixed_tokens"), F.sum("copies").alias("mixed_documents"), F.max("copies").alias("most_copies"), F.min("copies").alias("fewest_copies"))
+    full = plans.join(got, "source", "left").withColumn("fewest_copies", F.coalesce("fewest_copies", "max_repeats")).na.fill(0, ["mixed_tokens", "mixed_documents", "most_copies"])
     total = got.agg(F.sum("mixed_tokens").alias("_all"))
-    return full.join(F.broadcast(total)).withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("_all")), F.lit(0.0))).drop("_all")
+    short = (F.col("fewest_copies") >= F.col("max_repeats")) & (F.col("mixed_tokens") < F.col("target_tokens"))
+    return full.join(F.broadcast(total)).withColumns({"short": short, "actual_share": F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.col("_all")), F.lit(0.0))}).drop("_all")

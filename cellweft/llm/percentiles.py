@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweft.session import cut, small
+from cellweft.session import cut, spread
 
 
 def bisect_percentiles(df: DataFrame, groups: Sequence[str], value: str, ps: Sequence[float], *, sections: int = 64, finish: int = 1000, max_error: float = 0.0, max_passes: int = 400) -> DataFrame:
@@ -33,6 +33,12 @@ def bisect_percentiles(df: DataFrame, groups: Sequence[str], value: str, ps: Seq
     gs = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(g).alias(a) for g, a in zip(groups, gs)], (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     same = lambda a, b: [F.expr(f"{a}.{g} <=> {b}.{g}") for g in gs]
+
+    def within(state: DataFrame) -> DataFrame:
+        """The rows in the intervals of a state; a group of any size is dealt over tasks."""
+        big, spans, salt = spread(rows, state.select(*gs, "_lo", "_hi").distinct())
+        return big.alias("r").join(spans.alias("s"), [*same("r", "s"), *[F.col(f"r.{c}") == F.col(f"s.{c}") for c in salt], F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")])
+
     first = rows.groupBy(*gs).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     state = cut(
         first.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
@@ -41,7 +47,6 @@ def bisect_percentiles(df: DataFrame, groups: Sequence[str], value: str, ps: Seq
     wide = (F.col("_hi") > F.col("_lo")) & (F.col("_c") > finish) & ~(F.col("_hi") - F.col("_lo") <= F.lit(float(max_error)))
     for _ in range(max_passes):
         open_ = state.where(wide)
-        spans = small(open_.select(*gs, "_lo", "_hi").distinct())
         if not open_.limit(1).count():
             break
         width = F.col("_hi") - F.col("_lo")
@@ -49,8 +54,7 @@ def bisect_percentiles(df: DataFrame, groups: Sequence[str], value: str, ps: Seq
         part = F.least(F.lit(sections - 1), F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * F.lit(sections))).cast("int")
         edge = F.when(F.col("_v") == F.col("_lo"), F.lit(0)).when(F.col("_v") == F.col("_hi"), F.lit(sections - 1)).otherwise(F.when(F.isnan(width) | (width == float("inf")), F.when(F.abs(F.col("_v")) == float("inf"), F.lit(0)).otherwise(F.lit(sections // 2))).otherwise(part)).cast("int")
         counted = (
-            rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")])
-            .select(*[f"s.{g}" for g in gs], "_lo", "_hi", edge.alias("_part"), "_v")
+            within(open_).select(*[f"s.{g}" for g in gs], "_lo", "_hi", edge.alias("_part"), "_v")
             .groupBy(*gs, "_lo", "_hi", "_part").agg(F.count(F.lit(1)).alias("_k"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
         )
         below = F.sum("_k").over(Window.partitionBy(*gs, "_lo", "_hi").orderBy("_part"))
@@ -64,8 +68,7 @@ def bisect_percentiles(df: DataFrame, groups: Sequence[str], value: str, ps: Seq
     else:
         raise RuntimeError("intervals did not narrow; raise max_passes or finish")
     left = state.where((F.col("_hi") > F.col("_lo")) & (F.col("_c") <= finish) & ~(F.col("_hi") - F.col("_lo") <= F.lit(float(max_error))))
-    spans = small(left.select(*gs, "_lo", "_hi").distinct())
-    few = rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")]).select(*[f"s.{g}" for g in gs], "_lo", "_hi", "_v")
+    few = within(left).select(*[f"s.{g}" for g in gs], "_lo", "_hi", "_v")
     few = few.withColumn("_at", F.row_number().over(Window.partitionBy(*gs, "_lo", "_hi").orderBy("_v")))  # at most `finish` rows each
     picked = (
         left.alias("s").join(few.alias("c"), [*same("s", "c"), F.col("s._lo") == F.col("c._lo"), F.col("s._hi") == F.col("c._hi"), F.col("_below") + F.col("_at") == F.col("_rank")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,7 +10,7 @@ from cellweft.llm import mixing
 from cellweft.llm.leak_scan import leaked_items
 from cellweft.llm.percentiles import bisect_percentiles, combine, summarise
 from cellweft.llm.sentences import split_sentences
-from cellweft.llm.similar_vectors import Hashing, similar_vectors
+from cellweft.llm.similar_vectors import Hashing, similar_vectors, tuned
 from cellweft.llm.similarity_clusters import similarity_clusters
 from cellweft.session import parse_cluster, small, stored, table
 
@@ -35,8 +33,10 @@ def p6_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 VECTORS = (("codex", "codex_clean", "codex_clean", 30), ("cite", "cite_latent", "cite_latent", 20))
 #: Fixed value: 1 - Pearson correlation up to which two cells count as a found pair.
 PAIR_DISTANCE = 0.001
-#: Slots of about thirteen times the distance sought: two vectors at the limit share or touch a bucket of one table in 9,997 of 10,000 cases.
-PAIR_HASHING = Hashing(tables=3, hashes=12, width=0.6, probes=4)
+#: Slots of about eighteen times the distance sought: two vectors at the limit share or touch a bucket of one table in 9,997 of 10,000 cases.
+PAIR_HASHING = Hashing(tables=5, hashes=14, width=0.8, probes=1)
+#: Share of the true nearest neighbours that the tables of p2_neighbours are chosen for.
+RECALL = 0.95
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +48,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def knn_hashing(rows: int) -> Hashing:
-    """Tables for k nearest at any distance: one more projection for four times the rows keeps the buckets' growth to a root of it."""
-    return Hashing(tables=4, hashes=max(4, round(math.log2(max(2, rows)) / 2) - 1), width=1.2, probes=14)
-
-
 def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest cells of every row whose row_id is divisible by 20, searched among all rows."""
     out = None
     for dataset, name, column, dim in VECTORS:
-        rows = table(spark, sf_dir, name)
-        near = similar_vectors(rows, "cell_id", column, dim, k=5, queries=F.col("row_id") % 20 == 0, hashing=knn_hashing(rows.count())).select(F.lit(dataset).alias("dataset"), "query_id", "neighbour_id", "nn_rank", F.round("nn_dist", 9).alias("nn_dist"))
+        rows, asks = table(spark, sf_dir, name), F.col("row_id") % 20 == 0
+        near = similar_vectors(rows, "cell_id", column, dim, k=5, queries=asks, hashing=tuned(rows, "cell_id", column, dim, k=5, queries=asks, recall=RECALL)).select(F.lit(dataset).alias("dataset"), "query_id", "neighbour_id", "nn_rank", F.round("nn_dist", 9).alias("nn_dist"))
         out = near if out is None else out.unionByName(near)
     return out
 
@@ -140,7 +135,8 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_shares(spark, sf_dir).where(~F.col("reachable")).select("source")
+    """The sources that the mixture leaves short of their target with every document at the cap."""
+    return p7_shares(spark, sf_dir).where("short").select("source")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +152,18 @@ def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(counts, mixing.plan(counts, table(spark, sf_dir, "mix_targets")))
 
 
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source with a target and texts what must hold of its mixture: no document beyond max_repeats, each at one of the two whole numbers around its expected copies, all together within one of their sum."""
+    counts = _counted(spark, sf_dir)
+    plans = mixing.plan(counts, table(spark, sf_dir, "mix_targets"))
+    both = mixing.mixture(counts, plans).join(small(plans.select("source", "expected_copies", "max_repeats")), "source")
+    each = F.col("copies").between(F.floor("expected_copies"), F.ceil("expected_copies"))
+    return both.groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.bool_and(F.col("copies") <= F.col("max_repeats")).alias("under_cap"), F.bool_and(each).alias("rounded"),
+        (F.abs(F.sum("copies") - F.sum("expected_copies")) < 1.000001).alias("sum_kept"),
+    )
+
+
 # Sentences
 
 
@@ -182,6 +190,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_shares": p7_shares,
     "p7_mixture": p7_mixture,
+    "p7_bounds": p7_bounds,
     "p8_found": p8_found,
     "p8_all_texts": p8_all_texts,
 }
@@ -216,10 +225,18 @@ LEFT JOIN (SELECT item_id, count(*) AS documents, max(held / n) AS most_held FRO
     "p7_found": """WITH d AS (SELECT lower(trim(source)) AS source, strlen(text) AS size FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT source, sum(size) AS size FROM d GROUP BY 1)
 SELECT lower(trim(t.source)) AS source FROM mix_targets t LEFT JOIN s ON s.source = lower(trim(t.source)) WHERE target_share * (SELECT sum(size) FROM d) > max_repeats * coalesce(s.size, 0)""",
+    "p7_bounds": """SELECT lower(trim(source)) AS source, count(*) AS documents, TRUE AS under_cap, TRUE AS rounded, TRUE AS sum_kept FROM documents
+WHERE text IS NOT NULL AND lower(trim(source)) IN (SELECT lower(trim(source)) FROM mix_targets) GROUP BY 1""",
     "p4_found": f"""WITH {_VALUES}, q AS (SELECT slide_id, field_name, quantile_disc(value, 0.9) AS hi, quantile_disc(value, 0.1) AS lo FROM vals GROUP BY 1, 2)
 SELECT slide_id, field_name, 'high' AS side FROM q JOIN gate_limits USING (field_name) WHERE hi > upper_limit
 UNION ALL SELECT slide_id, field_name, 'low' FROM q JOIN gate_limits USING (field_name) WHERE lo < lower_limit""",
     "p4_percentiles": f"""WITH {_VALUES}, r AS (SELECT slide_id, field_name, value, row_number() OVER (PARTITION BY slide_id, field_name ORDER BY value) AS k,
   count(*) OVER (PARTITION BY slide_id, field_name) AS n FROM vals)
 SELECT slide_id, field_name, p, value, n FROM r, (SELECT unnest([0.1::DOUBLE, 0.25, 0.5, 0.75, 0.9]) AS p) WHERE k = greatest(1, ceil(round(p * n, 9)))""",
+    "p4_combined_days": f"""WITH {_VALUES}, r AS (SELECT slide_id, field_name, run_day, value, row_number() OVER d AS k, count(*) OVER (PARTITION BY slide_id, field_name, run_day) AS n
+  FROM vals WINDOW d AS (PARTITION BY slide_id, field_name, run_day ORDER BY value)),
+s AS (SELECT slide_id, field_name, run_day, value, k - lag(k, 1, 0) OVER (PARTITION BY slide_id, field_name, run_day ORDER BY k) AS weight
+  FROM r WHERE list_contains(list_transform(range(1, 51), lambda j: greatest(1, ceil(round(j / 50 * n, 9)))), k)),
+c AS (SELECT slide_id, field_name, value, sum(sum(weight)) OVER (PARTITION BY slide_id, field_name ORDER BY value) AS upto, sum(sum(weight)) OVER (PARTITION BY slide_id, field_name) AS n FROM s GROUP BY 1, 2, 3)
+SELECT slide_id, field_name, 0.5::DOUBLE AS p, min(value) AS value, CAST(any_value(n) AS BIGINT) AS n FROM c WHERE upto >= greatest(1, ceil(round(0.5 * n, 9))) GROUP BY 1, 2""",
 }

@@ -104,6 +104,9 @@ def test_mixture_reaches_shares(spark):
     mixed = mixing.mixture(counts, plans, fan_in=2)
     got = {r["source"]: r for r in mixing.report(mixed, plans).collect()}
     assert abs(got["a"]["mixed_tokens"] - got["a"]["target_tokens"]) < 120 and abs(got["b"]["mixed_tokens"] - got["b"]["target_tokens"]) < 600
+    assert {k for k, r in got.items() if r["short"]} == {k for k, r in got.items() if not r["reachable"]}
+    none = {r["source"] for r in mixing.report(mixed.withColumn("copies", F.lit(0).cast("bigint")), plans).where("short").collect()}
+    assert none != {k for k, r in got.items() if r["short"]}  # what is short is read from the mixture
     assert not got["c"]["reachable"] and got["c"]["most_copies"] == 4 and got["gone"]["mixed_tokens"] == 0
     assert abs(sum(r["actual_share"] for r in got.values()) - 1) < 1e-9
     assert mixed.count() == 1201 and mixed.where("source = 'rest'").count() == 0
