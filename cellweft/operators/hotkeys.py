@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweft.session import cut, small
+from cellweft.session import cut, small, spread
 
 
 def compress(df: DataFrame, keys: Sequence[str], value: str | Column) -> DataFrame:
@@ -30,8 +30,9 @@ def profile(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """
     held = F.col("value").isNotNull()
     most = weighted.where(held).groupBy(*keys).agg(F.max("weight").alias("_top"))
+    big, most, salt = spread(weighted.where(held), most)
     mode = (
-        weighted.where(held).join(most, list(keys)).where("weight = _top").groupBy(*keys)
+        big.join(most, [*keys, *salt]).where("weight = _top").groupBy(*keys)
         .agg(F.min("value").alias("mode"), F.first("weight").alias("mode_rows"))
     )
     total = weighted.groupBy(*keys).agg(F.sum("weight").alias("rows"), F.coalesce(F.sum(F.when(held, F.col("weight"))), F.lit(0)).alias("value_rows"), F.count(F.when(held, 1)).alias("distinct_values"))
@@ -75,10 +76,12 @@ def _at_ranks(weighted: DataFrame, keys: Sequence[str], asked: Column, splitters
         if not state.where(F.col("_k") > block).limit(1).count():
             break
         wide = state.where(F.col("_k") > block)
-        inside = w.join(small(wide), ks).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        big, few, salt = spread(w, wide)
+        inside = big.join(few, [*ks, *salt]).drop(*salt).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
         marks = inside.groupBy(*by).agg(F.array_sort(F.array_distinct(F.expr(f"approx_percentile(_v, array({', '.join(str(i / splitters) for i in range(1, splitters))}), 10000)"))).alias("_marks"))
         part = F.size(F.filter("_marks", lambda m: m < F.col("_v")))
-        sums = inside.join(marks, by).withColumn("_part", part).groupBy(*by, "_part").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bot"))
+        big, few, salt = spread(inside, marks)
+        sums = big.join(few, [*by, *salt]).withColumn("_part", part).groupBy(*by, "_part").agg(F.sum("_w").alias("_s"), F.count(F.lit(1)).alias("_c"), F.max("_v").alias("_top"), F.min("_v").alias("_bot"))
         order = Window.partitionBy(*by).orderBy("_part")  # at most `splitters` rows each
         run = (
             sums.join(wide.select(*by, "_n", "_below", F.col("_lo").alias("_lo0")), by)
@@ -88,7 +91,8 @@ def _at_ranks(weighted: DataFrame, keys: Sequence[str], asked: Column, splitters
             .select(*ks, "_p", "_n", "_rank", F.coalesce("_prev", "_lo0").alias("_lo"), F.col("_top").alias("_hi"), (F.col("_upto") - F.col("_s")).alias("_below"), F.col("_c").alias("_k"))
         )
         state = state.where(F.col("_k") <= block).unionByName(run)
-    last = w.join(small(state), ks).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+    big, few, salt = spread(w, state)
+    last = big.join(few, [*ks, *salt]).where((F.col("_v") > F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
     upto = F.col("_below") + F.sum("_w").over(Window.partitionBy(*by).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     return (
         last.withColumn("_upto", upto).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_w") < F.col("_rank")))

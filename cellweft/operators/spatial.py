@@ -2,7 +2,8 @@
 
 Both joins turn geometry into an equi-join on grid cells, so no pair of rows is ever formed that does not share or
 touch a cell. Occupied cells are paired first (one row per cell, not per point); points are read only for cells
-that have company. A crowded cell is cut into blocks of at most `block` points, so that no task owns it alone.
+that have company. A crowded cell is dealt into parts of about `block` points before its points are joined with
+anything, and each pair of parts is a task's key of its own, so that no task owns the cell.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cellweft.session import small, spread, stored
+
 EARTH_RADIUS_M = 6_371_008.8
 
 
@@ -61,25 +64,27 @@ def near_pairs(points: DataFrame, radius: float, *, id_col: str = "id", group_co
         .distinct()
         .withColumn("_key", key(F.col("_g"), [F.col(f"_c{i}") for i in range(n)]))
     )
-    cells = pts.groupBy("_key", "_g", *[f"_c{i}" for i in range(n)]).agg(F.count(F.lit(1)).alias("_n"))
+    cells = stored(pts.groupBy("_key", "_g", *[f"_c{i}" for i in range(n)]).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    # crowded cells, at most one for `block` rows: their points are dealt over parts before any join
+    hot = small(stored(cells.groupBy("_key").agg(F.sum("_n").alias("_n")).where(F.col("_n") > block).select("_key", F.ceil(F.col("_n") / F.lit(block)).cast("int").alias("_parts")), "hot"), 1_000_000)
+    parts = F.coalesce("_parts", F.lit(1))
     ahead = [o for o in product((-1, 0, 1), repeat=n) if o > (0,) * n]
     to = F.array(*[key(F.col("_g"), [F.col(f"_c{i}") + F.lit(o) for i, o in enumerate(off)]) for off in ahead])
-    there = cells.groupBy(F.col("_key").alias("_to")).agg(F.sum("_n").alias("_m"))
-    apart = cells.select(F.col("_key").alias("_from"), "_n", F.explode(to).alias("_to")).join(there, "_to").select("_from", "_to", "_n")
-    alone = cells.where("_n > 1").select(F.col("_key").alias("_from"), F.col("_key").alias("_to"), "_n")
-    links = apart.unionByName(alone).groupBy("_from", "_to").agg(F.max("_n").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / F.lit(block)).cast("int"))
+    there = cells.groupBy("_key").agg(F.sum("_n").alias("_m"))
+    apart = cells.select(F.col("_key").alias("_from"), F.explode(to).alias("_to")).join(there.select(F.col("_key").alias("_to")), "_to").select("_from", "_to")
+    alone = there.where("_m > 1").select(F.col("_key").alias("_from"), F.col("_key").alias("_to"))
+    links = apart.unionByName(alone).distinct()
+    # a link joins every part of one cell with every part of the other: one row for each pair of parts
+    for x, p in (("_from", "_pf"), ("_to", "_pt")):
+        links = links.join(hot.select(F.col("_key").alias(x), F.col("_parts").alias(p)), x, "left").withColumn(p, F.coalesce(p, F.lit(1)))
+    links = links.withColumn("_bf", F.explode(F.sequence(F.lit(0), F.col("_pf") - 1))).withColumn("_bt", F.explode(F.sequence(F.lit(0), F.col("_pt") - 1))).drop("_pf", "_pt")
     cols = ["_g", "_id", *[f"_a{i}" for i in range(n)]]
-    left = (
-        pts.join(links, F.col("_key") == F.col("_from"))
-        .select("_from", "_to", F.pmod(F.xxhash64("_id", *[f"_a{i}" for i in range(n)]), F.col("_blocks")).cast("int").alias("_b"), *[F.col(c).alias(f"l{c}") for c in cols])
-    )
-    right = (
-        pts.join(links, F.col("_key") == F.col("_to"))
-        .select("_from", "_to", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"), *[F.col(c).alias(f"r{c}") for c in cols])
-    )
+    dealt = pts.join(hot, "_key", "left").withColumn("_b", F.pmod(F.xxhash64("_id", *[f"_a{i}" for i in range(n)]), parts).cast("int"))
+    left = dealt.join(links, (F.col("_key") == F.col("_from")) & (F.col("_b") == F.col("_bf"))).select("_from", "_to", "_bf", "_bt", *[F.col(c).alias(f"l{c}") for c in cols])
+    right = dealt.join(links, (F.col("_key") == F.col("_to")) & (F.col("_b") == F.col("_bt"))).select("_from", "_to", "_bf", "_bt", *[F.col(c).alias(f"r{c}") for c in cols])
     d2 = sum(((F.col(f"l_a{i}") - F.col(f"r_a{i}")) ** 2 for i in range(n)), F.lit(0.0))
     return (
-        left.join(right, ["_from", "_to", "_b"])
+        left.join(right, ["_from", "_to", "_bf", "_bt"])
         .where((F.col("l_g") == F.col("r_g")) & (F.col("l_id") != F.col("r_id")) & (d2 <= F.lit(float(radius) ** 2)))
         .select(F.col("l_g").alias("grp"), F.least("l_id", "r_id").alias("left_id"), F.greatest("l_id", "r_id").alias("right_id"))
         .distinct()
@@ -124,7 +129,11 @@ def points_in_regions(points: DataFrame, regions: DataFrame, *, id_col: str = "i
         .withColumn("_level", F.explode("_levels"))
         .withColumns({"_cx": at(F.col("_px"), F.col("_level")), "_cy": at(F.col("_py"), F.col("_level"))})
     )
-    hit = p.join(cover, ["_g", "_level", "_cx", "_cy"]).where(F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1")))
+    on = ["_g", "_level", "_cx", "_cy"]
+    # an area as wide as a slide takes the slide's points in four cells: few outlines go to all tasks, many meet dealt points
+    corners = cover.agg(F.coalesce(F.sum(F.size("_xs")), F.lit(0))).first()[0]
+    p, cover, salt = spread(p, cover, limit=50_000 if corners <= 2_000_000 else 0)
+    hit = p.join(cover, [*on, *salt]).where(F.col("_px").between(F.col("_x0"), F.col("_x1")) & F.col("_py").between(F.col("_y0"), F.col("_y1")))
     return hit.where(inside_polygon(F.col("_px"), F.col("_py"), F.col("_xs"), F.col("_ys"))).select(F.col("_g").alias("grp"), F.col("_id").alias("left_id"), F.col("_rid").alias("right_id")).distinct()
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweft.operators.hotkeys import compress, heavy_keys, keyed_means, profile, quantiles_interpolated, salted_join, weighted_percentiles
-from cellweft.session import parse_cluster
+from cellweft.session import parse_cluster, spread
 
 
 def test_labels_in_all_spellings(spark):
@@ -21,7 +21,9 @@ def hot(spark):
     return rows, spark.createDataFrame([(*r, "x") for r in rows], "key string, v double, weight string")
 
 
-def test_profile(spark):
+@pytest.mark.parametrize("limit", [50_000, 0])
+def test_profile(spark, monkeypatch, limit):
+    monkeypatch.setattr("cellweft.session.BROADCAST_ROWS", limit)  # 0: keys are dealt over tasks
     rows, df = hot(spark)
     got = {r["key"]: r for r in profile(compress(df, ["key"], "v"), ["key"]).collect()}
     h = [v for k, v in rows if k == "hot"]
@@ -73,3 +75,22 @@ def test_empty(spark):
     assert profile(w, ["key"]).count() == 0
     assert weighted_percentiles(w, ["key"], [0.5]).count() == 0
     assert heavy_keys(w, "key", 0.1).count() == 0
+
+
+def test_a_key_of_nine_tenths_is_dealt_over_tasks(spark, monkeypatch):
+    """Without broadcasts no task of the join reads over twice the mean."""
+    monkeypatch.setattr("cellweft.session.BROADCAST_ROWS", 0)
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 < 9, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("key"), "id")
+    marks = df.groupBy("key").count()
+    hinted = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        big, few, salt = spread(df, marks)
+        assert salt
+        joined = big.join(few, ["key", *salt])
+        per = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(per) == 40_000 and max(per) < 2 * 40_000 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        for k, v in hinted.items():
+            spark.conf.set(k, v)
