@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import uuid
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -327,13 +328,17 @@ _script = lru_cache(20_000)(_script)
 
 
 def count_tokens_of(texts: Iterable[str]) -> dict[tuple[int, str], list[int]]:
-    """Counts by (kind, token). Tokens before a single stop: before a line break, a sure inside, a digit, anything else.
-    Capitalised words: where a sentence may begin, all. Letters of scripts without terminators, three at a time: at line ends, at line beginnings, all."""
+    """Counts by (kind, token). Tokens before a single stop: before a line break, a sure inside, a digit, anything else; capitalised, with or without a stop.
+    Capitalised words: where a sentence may begin, all. Letters of scripts without terminators, three at a time: at line ends, at line beginnings, all.
+    Of the first four also a bitmap of the hashed surroundings, which tells copies of one text from different uses."""
     out: dict[tuple[int, str], list[int]] = {}
-    begins, named = Counter(), Counter()
+    named = Counter()
 
-    def add(kind: int, token: str, place: int, n: int = 1) -> None:
-        out.setdefault((kind, token), [0, 0, 0, 0])[place] += n
+    def add(kind: int, token: str, place: int, n: int = 1, around: str | None = None) -> None:
+        got = out.setdefault((kind, token), [0] * 9)
+        got[place] += n
+        if around is not None:
+            got[5 + place] |= 1 << (zlib.crc32(around.encode("utf-8", "surrogatepass")) & 63)
 
     for text in texts:
         lines = [x for x in map(str.strip, _LINE.findall(text)) if x]
@@ -344,21 +349,25 @@ def count_tokens_of(texts: Iterable[str]) -> dict[tuple[int, str], list[int]]:
                     known = _token(line[max(0, s - _REACH) : s])[1]
                     if not known or len(known) > 16:
                         continue
+                    around = line[max(0, s - len(known) - 12) : e + 12] + (lines[i + 1][:12] if e >= len(line) and i + 1 < len(lines) else "")
                     if e >= len(line):
                         if i + 1 < len(lines):
-                            add(_STOPS, known, 0)
+                            add(_STOPS, known, 0, 1, around)
                         continue
                     if not line[e].isspace():
                         if line[e] in ",;:" or line[e] in _CLOSE and line[e + 1 : e + 2] in (",", ";"):
-                            add(_STOPS, known, 1)
+                            add(_STOPS, known, 1, 1, around)
                         continue
                     body = line[e : e + _REACH].lstrip()
                     k = _kind(body[:1])
                     mixed = k == "lower" and any(c.isupper() for c in _WORD.match(body)[0])
-                    add(_STOPS, known, 1 if k == "lower" and not mixed or k == "mark" else 2 if k == "digit" else 3)
+                    place = 1 if k == "lower" and not mixed or k == "mark" else 2 if k == "digit" else 3
+                    add(_STOPS, known, place, 1, around if place < 3 else body[:16])
             if line.lower() != line:
                 named.update(w for w in _NAMED.findall(line) if w[0].isupper())
-                begins.update(w for w in _BEGINS.findall(line) if w[0].isupper())
+                for m in _BEGINS.finditer(line):
+                    if m[1][0].isupper():
+                        add(_WORDS, m[1].lower(), 0, 1, line[m.end() : m.end() + 16])
             if _UNPUNCTUATED.search(line):
                 flat = _DIGIT.sub("#", line)
                 if _UNPUNCTUATED.search(line[-1]) or line[-1].isdigit():
@@ -367,13 +376,20 @@ def count_tokens_of(texts: Iterable[str]) -> dict[tuple[int, str], list[int]]:
                     add(_GRAMS, flat[:3], 1)
                 for gram, n in Counter(g[j : j + 3] for g in map(str, _LETTERS.findall(flat)) for j in range(len(g) - 2)).items():
                     add(_GRAMS, gram, 2, n)
-    for w, n in begins.items():
-        add(_WORDS, w.lower(), 0, n)
     for w, n in named.items():
         add(_WORDS, w.lower(), 1, n)
+        if len(w) <= 16:
+            add(_STOPS, w.lower(), 4, n)
     return out
 
 
+def different(counts: np.ndarray) -> np.ndarray:
+    """From counts and bitmaps the different uses (as far as 64 bits tell them apart, some 260), then the plain counts."""
+    bits = np.bitwise_count(counts[:, 5:9].astype(np.int64).view(np.uint64))
+    uses = np.minimum(counts[:, :4], 64 * np.log(64 / np.maximum(64 - bits, 1)))
+    return np.concatenate([np.where(bits > 0, uses, counts[:, :4]), counts[:, :5]], 1).astype(float)
+
+
 def _group_of(kind: int, token: str) -> str:
     """Tokens of a group share base rates: their kind and the script of the last letter."""
     return f"{kind}{_script(token[-1]) if kind == _STOPS else ''}"
@@ -390,17 +406,21 @@ def grade(kind: np.ndarray, token: list[str], counts: np.ndarray, totals: dict[s
     for i, (k, t, n) in enumerate(zip(kind.tolist(), token, counts.astype(float))):
         total = totals[_group_of(k, t)]
         got = ""
-        if k == _STOPS:
-            rate = (total[0] + 2) / (total[0] + total[3] + 20)  # a tenth before any text is read
-            digit = min(0.3, (total[2] + 1) / (total.sum() + 20))
+        if k == _STOPS and n[:4].any():
+            rate = max(0.05, (total[0] + 2) / (total[0] + total[3] + 20))  # a tenth before any text is read
+            digit = min(0.3, (total[2] + 1) / (total[:4].sum() + 20))
             score = n[0] * np.log(0.01 / rate) + n[3] * np.log(0.99 / (1 - rate)) + n[1] * np.log(0.3 / 0.02) + n[2] * np.log(0.3 / digit)
-            score += 3.0 if t in _LISTED else 0.0
+            score += 3.0 if t in _LISTED else -2.0 - 0.4 * max(0, len(t) - 3) ** 2  # of many tokens some shun line ends by chance; few long ones are abbreviations
+            stops = max(1.0, n[4:8].sum())
+            score -= 4 * np.log1p(max(0.0, n[8] - stops) / stops)  # abbreviations keep their stop
             got = "abbr_sure" if score > 8 else "abbr_likely" if score > 3 else "abbr_never" if score < -2 and len(t) <= 4 else ""
             weight[i] = abs(score)
+        elif k == _STOPS:
+            pass
         elif k == _WORDS:
-            share = (n[0] + 0.5) / (n[1] + 1.0)
-            got = "starter_sure" if share > 0.97 and n[1] >= 20 else "starter_likely" if share > 0.85 and n[1] >= 8 else "starter_never" if share < 0.3 and n[1] >= 8 else ""
-            weight[i] = n[1]
+            share = (n[4] + 0.5) / (n[5] + 1.0)
+            got = "starter_sure" if share > 0.97 and n[0] >= 15 else "starter_likely" if share > 0.85 and n[0] >= 6 else "starter_never" if share < 0.3 and n[5] >= 8 else ""
+            weight[i] = n[5]
         else:
             want = total[:2] * n[2] / max(1.0, total[2])
             score = np.log((n[:2] + 1.0) / (want + 1.0))
@@ -432,7 +452,7 @@ def learn_lexicon(texts: Iterable[str]) -> Lexicon:
     if not got:
         return Lexicon()
     kind, token = np.array([k for k, _ in got]), [t for _, t in got]
-    counts = np.array(list(got.values()))
+    counts = different(np.array([[x - (1 << 64) if x >> 63 else x for x in c] for c in got.values()], np.int64))
     totals: dict[str, np.ndarray] = {}
     for k, t, n in zip(kind.tolist(), token, counts):
         totals[_group_of(k, t)] = totals.get(_group_of(k, t), 0.0) + n.astype(float)
@@ -447,19 +467,27 @@ def corpus_lexicon(texts: DataFrame, *, entries: int = 200_000) -> Lexicon:
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 got = count_tokens_of(t for t in whole.column(0).slice(at, 2000).to_pylist() if t)
-                cols = list(zip(*got.values())) if got else [()] * 4
+                cols = list(zip(*got.values())) if got else [()] * 9
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in got], pa.int8()), pa.array([t for _, t in got], pa.string()), pa.array([_group_of(k, t) for k, t in got], pa.string()), *[pa.array(c, pa.int64()) for c in cols]],
-                    names=["kind", "token", "grp", "n0", "n1", "n2", "n3"])
+                    [pa.array([k for k, _ in got], pa.int8()), pa.array([t for _, t in got], pa.string()), pa.array([_group_of(k, t) for k, t in got], pa.string()),
+                     *[pa.array(c, pa.int64()) for c in cols[:5]], *[pa.array(np.array(c, np.uint64).view(np.int64)) for c in cols[5:]]],
+                    names=["kind", "token", "grp", *plain, *maps])
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = different(np.stack([b.column(c).to_numpy() for c in (*plain, *maps)], 1))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *[pa.array(c) for c in n.T]], names=["kind", "token", "grp", *uses])
 
-    n = ["n0", "n1", "n2", "n3"]
-    counts = stored(texts.mapInArrow(count, "kind tinyint, token string, grp string, n0 bigint, n1 bigint, n2 bigint, n3 bigint").groupBy("kind", "token", "grp").agg(*[F.sum(c).alias(c) for c in n]), "tokens")
-    totals = {r["grp"]: np.array([r[c] for c in n], float) for r in counts.groupBy("grp").agg(*[F.sum(c).alias(c) for c in n]).collect()}  # one row for each script
+    plain, maps, uses = [f"n{i}" for i in range(5)], [f"m{i}" for i in range(4)], [f"u{i}" for i in range(9)]
+    head = "kind tinyint, token string, grp string"
+    counts = texts.mapInArrow(count, ", ".join([head, *[f"{c} bigint" for c in (*plain, *maps)]])).groupBy("kind", "token", "grp").agg(*[F.sum(c).alias(c) for c in plain], *[F.bit_or(c).alias(c) for c in maps])
+    counts = stored(counts.mapInArrow(weigh, ", ".join([head, *[f"{c} double" for c in uses]])), "tokens")
+    totals = {r["grp"]: np.array([r[c] for c in uses], float) for r in counts.groupBy("grp").agg(*[F.sum(c).alias(c) for c in uses]).collect()}  # one row for each script
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kind, token = b.column(0).to_numpy(), b.column(1).to_pylist()
-            name, weight = grade(kind, token, np.stack([b.column(c).to_numpy() for c in n], 1), totals)
+            name, weight = grade(kind, token, np.stack([b.column(c).to_numpy() for c in uses], 1), totals)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(name), pa.array(weight)], names=["kind", "token", "name", "weight"])
 
     best = counts.mapInArrow(judge, "kind tinyint, token string, name string, weight double").where("name <> ''").orderBy(F.col("weight").desc(), "kind", "token").limit(entries)

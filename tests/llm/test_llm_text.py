@@ -171,7 +171,10 @@ LEARNT = {  # words that no list of the module holds: abbreviations before names
     "latin": ["Messrs. {A} and {B} bought the {c} for Mme. {A}.", "The {c} of Pty. {B} fell.", "See Blk. {n} of the {c}.", "He moved to the Terr. Whoever knew {A} stayed.", "Whoever saw the {c} told {B}.", "{A} sold a {c} to {B}."],
     "cyrillic": ["Ув. {A} купил дом для тов. {B}.", "Смотри илл. {n} в книге.", "{A} продал лодку и ушёл к {B}.", "Дом был стар."],
 }
-CASED = {"latin": (["Bano", "Kelira", "Tomun", "Serafi", "Wulgo", "Ildan", "Morvet", "Pentil"], ["barn", "wagon", "orchard", "gate"]), "cyrillic": (["Бано", "Келира", "Томун", "Серафи", "Вулго", "Илдан"], ["дом"])}
+CASED = {
+    "latin": ([a + b + c for a in ("Ba", "Keli", "To", "Sera", "Wul") for b in ("no", "ra", "mun") for c in ("l", "fi", "dan")], ["barn", "wagon", "orchard", "gate"]),
+    "cyrillic": ([a + b + c for a in ("Ба", "Кели", "То", "Сера", "Вул") for b in ("но", "ра", "мун") for c in ("л", "фи", "дан")], ["дом"]),
+}
 
 
 def learnt_corpus(script, rng, n):
