@@ -182,7 +182,8 @@ def adj_score_clusters_codex(data: CellData, k: int) -> DataFrame:
 
 
 def _permuted(edges: DataFrame, long: DataFrame, pairs: DataFrame, c: float, num_perms: int, estimate: bool, seed: int) -> DataFrame:
-    s = adjacency.permuted_scores(edges, stored(long, "long"), pairs, c, num_perms, seed)
+    long = stored(long, "long")
+    s = adjacency.null_moments(edges, long, pairs, c) if estimate else adjacency.permuted_scores(edges, long, pairs, c, num_perms, seed)
     return adjacency.with_q_values(adjacency.with_p_values(s, num_perms, estimate))
 
 

@@ -72,11 +72,28 @@ def cluster_score(edges: DataFrame, clusters: DataFrame) -> DataFrame:
     return pairs.join(met, ["f", "g"], "left").select("f", "g", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def null_moments(edges: DataFrame, long: DataFrame, pairs: DataFrame, c: float = 0.0) -> DataFrame:
+    """(f, g, score, mean, sd): the score, and the exact mean and deviation of its null over all ways of dealing f's values to the cells of the graph.
+
+    The score is a product of two columns over n cells, so that both follow from sums: mean = sum x * sum y / n, and
+    variance = (sum x^2 - (sum x)^2 / n) (sum y^2 - (sum y)^2 / n) / (n - 1). No deal is made.
+    """
+    long = long.select("cell_id", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double")).where("value <> 0")
+    nodes = edges.select(F.col("i").alias("cell_id")).distinct()
+    n = nodes.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    sums = lambda df, name: df.groupBy(F.col("feature").alias(name)).agg(F.sum("value").alias(f"{name}1"), F.sum(F.col("value") * F.col("value")).alias(f"{name}2"))
+    here, there = sums(long.join(nodes, "cell_id", "left_semi"), "f"), sums(diffused(edges, long, c), "g")
+    full = adjacency_score(edges, long, pairs, c).join(here, "f", "left").join(there, "g", "left").join(F.broadcast(n)).na.fill(0.0, ["f1", "f2", "g1", "g2"])  # n is one row
+    left = lambda x: F.greatest(F.col(f"{x}2") - F.col(f"{x}1") * F.col(f"{x}1") / F.col("n"), F.lit(0.0))
+    return full.select("f", "g", "score", F.coalesce(F.try_divide(F.col("f1") * F.col("g1"), F.col("n")), F.lit(0.0)).alias("mean"), F.coalesce(F.sqrt(F.try_divide(left("f") * left("g"), F.col("n") - 1)), F.lit(0.0)).alias("sd"))
+
+
 def permuted_scores(edges: DataFrame, long: DataFrame, pairs: DataFrame, c: float = 0.0, num_perms: int = 100, seed: int = 0) -> DataFrame:
     """(f, g, mean, sd, above): the score's null when f's values are dealt to other cells, from num_perms deals.
 
     A deal moves the values by one random rotation of a hashed order of the cells: a permutation that a join can
-    make, alike when a task is repeated. `above` counts the deals whose score reaches the observed one.
+    make, alike when a task is repeated. There are only as many such deals as cells, and they are not independent.
+    `above` counts the deals whose score reaches the observed one. For the moments alone use null_moments().
     """
     long = long.select("cell_id", F.col("feature").cast("string").alias("feature"), F.col("value").cast("double")).where("value <> 0")
     nodes = edges.select(F.col("i").alias("cell_id")).distinct()
@@ -98,13 +115,17 @@ def permuted_scores(edges: DataFrame, long: DataFrame, pairs: DataFrame, c: floa
     return full.select("f", "g", "score", mean.alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("sd"), (F.coalesce("above", F.lit(0)) + missing).alias("above"))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df with its place, from 0, in the order of the keys, and the partition `_part` of that order; numbered through partition offsets, in no single task."""
+    ranged = stored(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "places")
+    size = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
+    before = size.select("_part", "_first", (F.sum("_c").over(Window.orderBy("_part")) - F.col("_c")).alias("_b"))  # a row for each partition
+    return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_b") + F.col("_at") - F.col("_first")).drop("_b", "_at", "_first")
+
+
 def _numbered(nodes: DataFrame, seed: int) -> DataFrame:
-    """(cell_id, at): places 0.. in a hashed order, numbered through partition offsets."""
-    keyed = nodes.withColumn("h", F.xxhash64(F.lit(seed), "cell_id"))
-    ranged = stored(keyed.repartitionByRange("h", "cell_id").sortWithinPartitions("h", "cell_id").withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()), "places")
-    size = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("c"), F.min("m").alias("first"))
-    before = size.select("p", "first", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("b"))  # a row for each partition
-    return ranged.join(F.broadcast(before), "p").select("cell_id", (F.col("b") + F.col("m") - F.col("first")).alias("at"))
+    """(cell_id, at): places 0.. in a hashed order."""
+    return numbered(nodes.withColumn("h", F.xxhash64(F.lit(seed), "cell_id")), ["h", "cell_id"], "at").select("cell_id", "at")
 
 
 def upper_tail(x: pd.Series, mean: pd.Series, sd: pd.Series) -> np.ndarray:
@@ -112,8 +133,8 @@ def upper_tail(x: pd.Series, mean: pd.Series, sd: pd.Series) -> np.ndarray:
     return np.array([0.5 * math.erfc(v / math.sqrt(2)) for v in z])
 
 
-def with_p_values(scores: DataFrame, num_perms: int, estimate: bool = True) -> DataFrame:
-    """Adds p: the normal tail of the null, or the share of deals that reach the score."""
+def with_p_values(scores: DataFrame, num_perms: int = 0, estimate: bool = True) -> DataFrame:
+    """Adds p: the normal tail of the null (mean, sd), or the share of num_perms deals that reach the score (above)."""
     if not estimate:
         return scores.withColumn("p", (F.col("above") + 1) / F.lit(num_perms + 1))
 
@@ -122,7 +143,7 @@ def with_p_values(scores: DataFrame, num_perms: int, estimate: bool = True) -> D
             b["p"] = upper_tail(b["score"], b["mean"], b["sd"])
             yield b
 
-    return scores.mapInPandas(tail, "f string, g string, score double, mean double, sd double, above bigint, p double")
+    return scores.mapInPandas(tail, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.schema.fields) + ", p double")
 
 
 def _log_choose(n: float, k: float) -> float:
@@ -130,12 +151,20 @@ def _log_choose(n: float, k: float) -> float:
 
 
 def hypergeometric_tail(x: int, population: int, marked: int, drawn: int) -> float:
-    """P(X >= x) for a draw without replacement."""
+    """P(X >= x) for a draw without replacement. Terms are built up from the first by their ratios and end 45 deviations past the mode, where nothing is left."""
     lo, hi = max(x, drawn - (population - marked), 0), min(marked, drawn)
     if lo > hi:
         return 0.0
-    whole = _log_choose(population, drawn)
-    terms = np.array([_log_choose(marked, k) + _log_choose(population - marked, drawn - k) - whole for k in range(lo, hi + 1)])
+    share = marked / population if population else 0.0
+    mode, sd = drawn * share, math.sqrt(max(1.0, drawn * share * (1 - share)))
+    lo_sum = lo
+    if lo < mode - 45 * sd:
+        return 1.0
+    hi = min(hi, int(max(lo, mode) + 45 * sd + 50))
+    first = _log_choose(marked, lo_sum) + _log_choose(population - marked, drawn - lo_sum) - _log_choose(population, drawn)
+    k = np.arange(lo_sum, hi, dtype=float)
+    ratio = np.log((marked - k) * (drawn - k)) - np.log((k + 1) * (population - marked - drawn + k + 1))
+    terms = first + np.concatenate([[0.0], np.cumsum(ratio)])
     top = terms.max()
     return float(min(1.0, math.exp(top) * np.exp(terms - top).sum()))
 
@@ -161,12 +190,19 @@ def cluster_p_values(edges: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def with_q_values(df: DataFrame, p: str = "p") -> DataFrame:
-    """Adds q by Benjamini and Hochberg: the least p * m / rank of all at or above a rank. The rows are pairs of features, not of cells."""
-    rank = F.row_number().over(Window.orderBy(p, "f", "g"))
-    m = F.count(F.lit(1)).over(Window.partitionBy())
-    raw = df.withColumn("_r", rank).withColumn("_m", m).withColumn("_a", F.col(p) * F.col("_m") / F.col("_r"))
-    later = Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing)
-    return raw.withColumn("q", F.least(F.lit(1.0), F.min("_a").over(later))).drop("_r", "_m", "_a")
+    """Adds q by Benjamini and Hochberg: the least p * m / rank of all at or above a rank.
+
+    Rows are ranked through partition offsets; the least value of later partitions is carried to the earlier ones.
+    Rows with a null or NaN p have a null q; they count as rows.
+    """
+    names = df.columns
+    placed = stored(numbered(df.withColumn("_ok", F.col(p).isNotNull() & ~F.isnan(p)).withColumn("_p", F.when(F.col("_ok"), F.col(p)).otherwise(F.lit(float("inf")))), ["_p", "f", "g"], "_r"), "ranked")
+    m = placed.agg(F.count(F.lit(1)).alias("_m"))
+    raw = placed.join(F.broadcast(m)).withColumn("_a", F.col("_p") * F.col("_m") / (F.col("_r") + 1))
+    later = raw.groupBy("_part").agg(F.min("_a").alias("_l"))
+    after = later.select("_part", F.min("_l").over(Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))  # a row for each partition
+    inside = F.min("_a").over(Window.partitionBy("_part").orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
+    return raw.withColumn("_in", inside).join(F.broadcast(after), "_part").select(*names, F.when(F.col("_ok"), F.least(F.lit(1.0), F.col("_in"), F.coalesce("_after", F.lit(float("inf"))))).otherwise(F.lit(None).cast("double")).alias("q"))
 
 
 def heatmap(scores: DataFrame, features: list[str], scaling: float = 1e-10) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellweft.session import stored
+from cellweft.session import small, stored
 
 #: Numbers on the searched side up to which it is sent whole to each executor (8 bytes each).
 BROADCAST_NUMBERS = 4_000_000
@@ -136,12 +136,16 @@ def find_nn_rna(ref: DataFrame, query: DataFrame, rna: DataFrame, cite_index: in
     return out | {"rr": knn(ref, ref, k + 1, metric="euclidean"), "qq": own}
 
 
+#: Grid levels that points start from, as powers of two of the side that an even spread would need.
+_FINEST, _COARSEST = -7, 2
+
+
 def spatial_knn(points: DataFrame, k: int, *, axes: tuple[str, ...] = ("x", "y", "z"), max_rounds: int = 64) -> DataFrame:
-    """(q, d, rank, dist): the k nearest other cells by position, exactly, through a grid that widens where cells are sparse.
+    """(q, d, rank, dist): the k nearest other cells by position, exactly, through a grid as fine as each place is dense.
 
-    points: (cell_id, axes), one row per cell. Each round looks into the 3^n cells around a point; a point is done
-    when k neighbours are nearer than the walls of these cells. The next round doubles the side for the rest. The
-    searched points are read each round, but those that ask become few. Null and NaN positions take no part.
+    points: (cell_id, axes), one row per cell. Every point starts at the finest level at which its own grid cell holds
+    more than k points but is not crowded, and looks into the 3^n cells around it; it is done when k neighbours are
+    nearer than the walls of these cells. The others go on one level coarser. Null and NaN positions take no part.
     """
     n = len(axes)
     ok = F.lit(True)
@@ -154,39 +158,45 @@ def spatial_knn(points: DataFrame, k: int, *, axes: tuple[str, ...] = ("x", "y",
     if total < 2:
         return pts.select(F.col("cell_id").alias("q"), F.col("cell_id").alias("d"), F.lit(1).alias("rank"), F.lit(0.0).alias("dist")).limit(0)
     k = min(k, total - 1)
-    side = float(np.prod(spans) * (k + 1) / total) ** (1 / len(spans)) if spans else 1.0
+    even = float(np.exp((np.log(spans).sum() + np.log((k + 1) / total)) / len(spans))) if spans else 1.0
     widest = max(spans, default=1.0)
-    # start where no cell is crowded: dense places are settled by fine cells, sparse ones by the doubling
-    for _ in range(40):
-        most = pts.groupBy(*[F.floor(F.col(f"a{i}") / F.lit(side)) for i in range(n)]).count().agg(F.max("count")).first()[0]  # one number
-        if most <= 16 * (k + 1) or side < widest * 1e-9:
-            break
-        side /= 2
-    left, out = pts, None
+    fine, keys = [f"f{i}" for i in range(n)], [f"k{i}" for i in range(n)]
+
+    # the level of each occupied finest cell, from the counts of the cells around it at all levels
+    placed = pts.select("*", *[F.floor(F.col(f"a{i}") / F.lit(even * 2.0**_FINEST)).alias(f) for i, f in enumerate(fine)])
+    cells = placed.groupBy(*fine).agg(F.count(F.lit(1)).alias("c"))
+    nested = cells.select("*", F.explode(F.sequence(F.lit(_FINEST), F.lit(_COARSEST))).alias("level")).select("*", *[F.expr(f"shiftright({f}, level - ({_FINEST}))").alias(c) for f, c in zip(fine, keys)])
+    counts = stored(nested.groupBy("level", *keys).agg(F.sum("c").alias("held")), "cells")
+    crowd = 64 * (k + 1)
+    hot = small(counts.where(F.col("held") > 64 * crowd).select("level", *keys), 1_000_000)  # at most levels x points / (64 x crowd) cells
+    known = nested.join(hot, ["level", *keys], "left_anti").join(counts.where(F.col("held") <= crowd), ["level", *keys])
+    level = known.groupBy(*fine).agg(F.coalesce(F.min(F.when(F.col("held") > k, F.col("level"))), F.max("level")).alias("level"))
+    left = stored(placed.join(level, fine, "left").select("cell_id", *[f"a{i}" for i in range(n)], F.coalesce("level", F.lit(_FINEST)).alias("level")), "left")
+
+    out, step = None, 1
     offsets = F.array(*[F.struct(*[F.lit(o).alias(f"o{i}") for i, o in enumerate(off)]) for off in product((-1, 0, 1), repeat=n)])
+    side = F.lit(even) * F.pow(F.lit(2.0), F.col("level"))
+    cell = [F.floor(F.col(f"a{i}") / side) for i in range(n)]
     for _ in range(max_rounds):
-        cell = [F.floor(F.col(f"a{i}") / F.lit(side)) for i in range(n)]
-        data = pts.select(*[c.alias(f"k{i}") for i, c in enumerate(cell)], F.col("cell_id").alias("d"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(n)])
-        last = side >= widest
+        used = [r[0] for r in left.select("level").distinct().collect()]  # a few dozen numbers at most
+        if not used:
+            break
+        data = pts.withColumn("level", F.explode(F.array(*[F.lit(x) for x in used]))).select("level", *[c.alias(x) for c, x in zip(cell, keys)], F.col("cell_id").alias("d"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(n)])
+        last = side >= F.lit(widest)
         # all points nearer than this lie in the cells looked at: a side, and what is left to the nearest wall of the own cell
-        inner = [F.col(f"a{i}") - c * F.lit(side) for i, c in enumerate(cell)]
-        reach = F.lit(float("inf")) if last else F.lit(side * (1 - 1e-9)) + F.greatest(F.lit(0.0), F.least(*[x for f in inner for x in (f, F.lit(side) - f)]))
-        asks = left.select("*", reach.alias("reach"), F.inline(offsets)).select("cell_id", "reach", *[f"a{i}" for i in range(n)], *[(cell[i] + F.col(f"o{i}")).alias(f"k{i}") for i in range(n)])
-        cand = asks.join(data, [f"k{i}" for i in range(n)]).where("cell_id <> d")
-        dist = F.round(F.sqrt(sum(((F.col(f"a{i}") - F.col(f"b{i}")) ** 2 for i in range(n)), F.lit(0.0))), DIGITS)
-        top = (
-            cand.select(F.col("cell_id").alias("q"), "d", dist.alias("dist"), "reach").where(F.col("dist") < F.col("reach")).drop("reach")
-            .withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "d"))).where(F.col("rank") <= k)
-        )
-        done = top.groupBy("q").agg(F.count(F.lit(1)).alias("c")).where(F.lit(last) | (F.col("c") >= k)).select("q")
-        top = stored(top if last else top.join(done, "q", "left_semi"), "near")
+        inner = [F.col(f"a{i}") - c * side for i, c in enumerate(cell)]
+        reach = F.when(last, F.lit(float("inf"))).otherwise(side * (1 - 1e-9) + F.greatest(F.lit(0.0), F.least(*[x for f in inner for x in (f, side - f)])))
+        asks = left.select("*", reach.alias("reach"), F.inline(offsets)).select("cell_id", "level", "reach", *[f"a{i}" for i in range(n)], *[(cell[i] + F.col(f"o{i}")).alias(x) for i, x in enumerate(keys)])
+        cand = asks.join(data, ["level", *keys]).where("cell_id <> d")
+        apart = [F.col(f"a{i}") - F.col(f"b{i}") for i in range(n)]
+        near = cand.select(F.col("cell_id").alias("q"), "d", sum((x * x for x in apart), F.lit(0.0)).alias("d2"), "reach").where(F.col("d2") < F.col("reach") * F.col("reach"))
+        best = near.select("q", "d", F.round(F.sqrt("d2"), DIGITS).alias("dist"), "reach")
+        top = best.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", "d"))).where(F.col("rank") <= k)
+        full = F.count(F.lit(1)).over(Window.partitionBy("q"))  # at most k rows each
+        top = stored(top.withColumn("full", full).where((F.col("full") >= k) | (F.col("reach") == float("inf"))).select("q", "d", "rank", "dist"), "near")
         out = top if out is None else out.unionByName(top)
-        if last:
-            break
-        left = stored(left.join(top.select("q").distinct(), F.col("cell_id") == F.col("q"), "left_anti"), "left")
-        if not left.limit(1).count():
-            break
-        side *= 2
+        left = stored(left.where(~last).join(top.where("rank = 1").select("q"), F.col("cell_id") == F.col("q"), "left_anti").withColumn("level", F.col("level") + step), "left")
+        step = 2
     return out.select("q", "d", "rank", "dist")
 
 

@@ -557,16 +557,40 @@ def adjacency_features(spark, d):
     return adjacency.adjacency_score(_soft_inputs(spark, d), m, adjacency.all_pairs(m.select("feature").distinct())).withColumn("score", F.round("score", 5))
 
 
-@query()
+_Q = "r AS (SELECT *, row_number() OVER (ORDER BY p, f, g) AS k, count(*) OVER () AS m FROM tail), bh AS (SELECT *, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM r)"
+
+
+@query(f"""WITH {_POS}, {_GRAPH}, {_CODEX_LAB}, {_LABEDGE}, {_PAIRS}, s AS (SELECT f, g, count(*) AS n FROM le GROUP BY 1, 2), size AS (SELECT cluster AS c, count(*) AS n FROM lab GROUP BY 1),
+h AS (SELECT pairs.f, pairs.g, coalesce(s.n, 0) AS x, (SELECT sum(n) FROM size)::DOUBLE AS cells, a.n * (b.n - CAST(pairs.f = pairs.g AS INT))::DOUBLE AS marked, (SELECT count(*) FROM edges)::DOUBLE AS drawn
+  FROM pairs LEFT JOIN s USING (f, g) JOIN size a ON a.c = pairs.f JOIN size b ON b.c = pairs.g),
+w AS (SELECT *, cells * (cells - 1) AS pop FROM h), term AS (SELECT f, g, x, exp(lgamma(marked + 1) - lgamma(k + 1) - lgamma(marked - k + 1) + lgamma(pop - marked + 1) - lgamma(drawn - k + 1) - lgamma(pop - marked - drawn + k + 1)
+  - lgamma(pop + 1) + lgamma(drawn + 1) + lgamma(pop - drawn + 1)) AS t FROM (SELECT *, unnest(generate_series(x, CAST(least(marked, drawn) AS BIGINT))) AS k FROM w)),
+tail AS (SELECT w.f, w.g, CAST(w.x AS DOUBLE) AS score, least(1.0, coalesce(sum(t), 0.0)) AS p FROM w LEFT JOIN term ON term.f = w.f AND term.g = w.g GROUP BY w.f, w.g, w.x), {_Q}
+SELECT f, g, score, round(log10(p + 1e-12), 2) AS log10_p, round(log10(q + 1e-12), 2) AS log10_q FROM bh""")
 def adjacency_cluster_p_values(spark, d):
-    return adjacency.with_q_values(adjacency.cluster_p_values(stored(adjacency.knn_graph(positions(spark, d), 3), "edges"), codex_labels(spark, d)))
+    """The logarithms to base 10 of p and q, as the p of most pairs is next to nothing."""
+    s = adjacency.with_q_values(adjacency.cluster_p_values(stored(adjacency.knn_graph(positions(spark, d), 3), "edges"), codex_labels(spark, d)))
+    return s.select("f", "g", "score", *[F.round(F.log10(F.col(x) + 1e-12), 2).alias(f"log10_{x}") for x in "pq"])
 
 
-@query()
+# half of erfc(x / sqrt 2): a continued fraction beyond 2, a power series within
+_FAR = "exp(-{x} * {x} / 2) / sqrt(2 * pi()) / ({x} + list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(120, 0, -1), lambda k: k::DOUBLE)), lambda a, k: k / ({x} + a)))"
+_NEAR = "0.5 - z / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: (CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * exp(k * ln(greatest(z * z, 1e-300) / 2) - lgamma(k + 1)) / (2 * k + 1)))"
+
+
+@query(f"""WITH {_EMB}, {_EG}, m AS (SELECT id AS cell_id, CAST(i AS VARCHAR) AS cluster, v[i] AS w FROM (SELECT id, v, unnest(range(1, 21)) AS i FROM emb)), {_PAIRS.replace('FROM lab', 'FROM m')},
+s AS (SELECT a.cluster AS f, b.cluster AS g, sum(a.w * b.w) AS s FROM edges JOIN m a ON a.cell_id = i JOIN m b ON b.cell_id = j GROUP BY 1, 2), y AS (SELECT i AS cell_id, cluster, sum(w) AS y FROM edges JOIN m ON cell_id = j GROUP BY 1, 2),
+nn AS (SELECT count(DISTINCT i)::DOUBLE AS n FROM edges), fs AS (SELECT cluster AS f, sum(w) AS f1, sum(w * w) AS f2 FROM m WHERE cell_id IN (SELECT i FROM edges) GROUP BY 1), gs AS (SELECT cluster AS g, sum(y) AS g1, sum(y * y) AS g2 FROM y GROUP BY 1),
+z AS (SELECT f, g, coalesce(s, 0) AS score, f1 * g1 / n AS mean, sqrt((f2 - f1 * f1 / n) * (g2 - g1 * g1 / n) / (n - 1)) AS sd FROM pairs LEFT JOIN s USING (f, g) JOIN fs USING (f) JOIN gs USING (g), nn),
+zz AS (SELECT *, (score - mean) / sd AS z FROM z),
+tail AS (SELECT f, g, score, mean, sd, CASE WHEN z > 2 THEN {_FAR.format(x='z')} WHEN z < -2 THEN 1 - {_FAR.format(x='(-z)')} ELSE {_NEAR} END AS p FROM zz), {_Q}
+SELECT f, g, round(score, 5) AS score, round(mean, 5) AS mean, round(sd, 5) AS sd, round(p, 6) AS p, round(q, 6) AS q FROM bh""")
 def adjacency_feature_p_values(spark, d):
+    """The null's moments over all deals, its normal tail and q."""
     m = stored(frames.to_long(imaging(spark, d)), "long")
-    s = adjacency.permuted_scores(_soft_inputs(spark, d), m, adjacency.all_pairs(m.select("feature").distinct()), num_perms=50, seed=1)
-    return adjacency.with_q_values(adjacency.with_p_values(s, 50))
+    s = adjacency.null_moments(_soft_inputs(spark, d), m, adjacency.all_pairs(m.select("feature").distinct()))
+    s = adjacency.with_q_values(adjacency.with_p_values(s))
+    return s.select("f", "g", *[F.round(x, n).alias(x) for x, n in (("score", 5), ("mean", 5), ("sd", 5), ("p", 6), ("q", 6))])
 
 
 @query("SELECT DISTINCT a.n_name AS f, b.n_name AS g FROM nation a JOIN nation b ON a.n_name <= b.n_name")

@@ -329,3 +329,54 @@ def test_api_chain(spark):
     with pytest.raises(ValueError):
         api.cluster_codex(data)
     assert isinstance(api.filter_cite_mrna(data, 1, 1).cite_mrna.toPandas(), pd.DataFrame)
+
+
+def test_null_moments_are_those_of_all_deals(spark):
+    import itertools
+
+    edges = [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2)]
+    both = edges + [(b, a) for a, b in edges]
+    x, y = [1.0, 0.0, 2.5, -1.0], [0.0, 3.0, 1.0, 2.0]
+    long = [(str(i), "f", v) for i, v in enumerate(x)] + [(str(i), "g", v) for i, v in enumerate(y)] + [("9", "f", 7.0)]
+    e = spark.createDataFrame([(str(a), str(b)) for a, b in both], "i string, j string")
+    df = spark.createDataFrame([(*r, 1) for r in long], "cell_id string, feature string, value double, n int")
+    got = adjacency.null_moments(e, df, spark.createDataFrame([("f", "g"), ("f", "none")], "f string, g string")).collect()
+    got = {r["g"]: r for r in got}
+    spread = [sum(y[b] for a, b in both if a == i) for i in range(4)]
+    deals = [sum(x[p[i]] * spread[i] for i in range(4)) for p in itertools.permutations(range(4))]
+    assert abs(got["g"]["mean"] - np.mean(deals)) < 1e-9 and abs(got["g"]["sd"] - np.std(deals)) < 1e-9
+    assert abs(got["g"]["score"] - sum(x[i] * spread[i] for i in range(4))) < 1e-9 and got["none"]["sd"] == 0
+
+
+def test_hypergeometric_tail_against_sums():
+    import math
+
+    for pop, marked, drawn in ((50, 20, 10), (400, 3, 200), (9, 9, 4), (2000, 900, 700)):
+        exact = [math.comb(marked, k) * math.comb(pop - marked, drawn - k) / math.comb(pop, drawn) for k in range(drawn + 1)]
+        for x in (0, 1, 2, drawn // 2, drawn):
+            assert abs(adjacency.hypergeometric_tail(x, pop, marked, drawn) - sum(exact[x:])) < 1e-9
+
+
+def test_q_values_over_partitions(spark):
+    rng = np.random.default_rng(4)
+    p = np.round(rng.random(500) ** 3, 4)
+    df = spark.createDataFrame([(f"f{i:03}", "g", float(v), "x") for i, v in enumerate(p)], "f string, g string, p double, note string").repartition(7)
+    got = {r["f"]: r["q"] for r in adjacency.with_q_values(df).collect()}
+    order = np.lexsort((np.arange(500), p))
+    q = np.minimum.accumulate((p[order] * 500 / np.arange(1, 501))[::-1])[::-1].clip(max=1)
+    assert all(abs(got[f"f{i:03}"] - v) < 1e-12 for i, v in zip(order, q))
+    assert adjacency.with_q_values(df.limit(0)).count() == 0
+
+
+def test_spatial_neighbours_around_a_crowded_spot(spark):
+    """A spot a million times denser than the rest, points alone, and equal positions: exact for all."""
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([rng.random((150, 3)) * 1000, 500 + rng.random((200, 3)) * 1e-3, np.full((6, 3), 250.0), [[9e4, 0, 0], [0, -7e4, 3.0]]])
+    df = spark.createDataFrame([(f"c{i:03}", *map(float, r), 1) for i, r in enumerate(xyz)], "cell_id string, x double, y double, z double, level int")
+    got = {}
+    for r in spatial_knn(df, 4).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["dist"], r["d"]))
+    for i, a in enumerate(xyz):
+        d = np.round(np.sqrt(((xyz - a) ** 2).sum(1)), 9)
+        want = sorted((v, f"c{j:03}") for j, v in enumerate(d) if j != i)[:4]
+        assert [(x, y) for _, x, y in sorted(got[f"c{i:03}"])] == want
