@@ -6,20 +6,35 @@ from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellweft.session import small, stored
 
-#: Numbers on the searched side up to which it is sent whole to each executor (8 bytes each).
+#: Numbers on the searched side, or with the queries, up to which it is sent whole to each executor (8 bytes each).
 BROADCAST_NUMBERS = 4_000_000
 #: Decimals that distances are rounded to before they are ranked, so that ties fall to the smaller id.
 DIGITS = 9
 
 
+def _size(df: DataFrame) -> tuple[int, int]:
+    """Rows and the longest vector of (cell_id, vec)."""
+    n, dim = df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    return n, max(1, dim or 0)
+
+
+def _vectors(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A column of vectors of one length as a matrix; null elements become NaN."""
+    width = pc.unique(pc.list_value_length(col)).to_pylist()
+    if len(width) > 1 or None in width:
+        raise ValueError("vectors must have one length and not be null")
+    flat = pc.list_flatten(col)
+    return np.asarray(flat.to_numpy(zero_copy_only=False) if isinstance(flat, pa.Array) else flat.to_numpy(), float).reshape(len(col), width[0] if width else 0)
+
+
 def _prepare(x: np.ndarray, metric: str) -> np.ndarray:
     x = np.asarray(x, float)
     if metric == "euclidean":
@@ -54,13 +69,79 @@ def _block_top(q: np.ndarray, d: np.ndarray, rank_of: np.ndarray, k: int, metric
     return cols, dist
 
 
+def _improve(dist: np.ndarray, pos: np.ndarray, q: np.ndarray, d: np.ndarray, first: int, metric: str) -> None:
+    """Sets the rows of d, at the places first, first + 1, ..., among the nearest so far (dist, pos) of the rows of q, in place.
+
+    Place -1 is free. Of equal distances the earlier place comes first, so one that stands is only displaced by a
+    smaller distance, and the bound on the products leaves few to look at.
+    """
+    k = dist.shape[1]
+    no_q, no_d = ~np.isfinite(q).all(1), ~np.isfinite(d).all(1)
+    q, d = np.where(no_q[:, None], 0, q), np.where(no_d[:, None], 0, d)
+    worst, free = dist[:, -1].copy(), pos[:, -1] < 0
+    s = q @ d.T
+    if metric == "euclidean":
+        qq, dd = (q * q).sum(1), (d * d).sum(1)
+        near = dd[None, :] - 2 * s < (worst * worst - qq + 1e-12 * (1 + qq + dd.max()))[:, None]
+    else:
+        near = s > (1 - worst - 1e-12)[:, None]
+    near[free] = True
+    near[no_q & ~free] = False
+    r, c = np.nonzero(near)
+    if metric == "euclidean":
+        v = np.concatenate([np.sqrt(((q[r[i : i + 200_000]] - d[c[i : i + 200_000]]) ** 2).sum(1)) for i in range(0, max(1, len(r)), 200_000)])
+    else:
+        v = 1 - s[r, c]
+    v = np.round(v, DIGITS) + 0.0
+    v[no_q[r] | no_d[c]] = np.inf
+    keep = free[r] | (v < worst[r])
+    r, c, v = r[keep], c[keep], v[keep]
+    if not len(r):
+        return
+    rows, at = np.unique(r, return_inverse=True)
+    row = np.concatenate([np.repeat(np.arange(len(rows)), k), at])
+    v, p = np.concatenate([dist[rows].ravel(), v]), np.concatenate([pos[rows].ravel(), first + c])
+    order = np.lexsort((np.where(p < 0, np.iinfo(np.int64).max, p), v, row))
+    take = order[np.searchsorted(row[order], np.arange(len(rows)))[:, None] + np.arange(k)]
+    dist[rows], pos[rows] = v[take], p[take]
+
+
+def _streamed(data: DataFrame, query: DataFrame, want: int, metric: str, schema: str, rows: int) -> DataFrame:
+    """(q, d, dist): for each part of data, of a million rows at most or so, the nearest of its rows for each query. The queries are held by each executor."""
+    t = query.toArrow()
+    shared = data.sparkSession.sparkContext.broadcast((t.column("cell_id").combine_chunks(), _prepare(_vectors(t.column("vec")), metric)))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks, mat = shared.value
+        dist, pos = np.full((len(mat), want), np.inf), np.full((len(mat), want), -1, np.int64)
+        ids, seen = [], 0
+        for b in batches:
+            x = _prepare(_vectors(b.column(1)), metric) if b.num_rows else np.zeros((0, 0))
+            ids.append(b.column(0))
+            at = 0
+            while at < len(x):
+                step = min(4096, max(64, want, seen))  # few rows first, so that the bounds are close when there are many
+                for i in range(0, len(mat), 1024):
+                    _improve(dist[i : i + 1024], pos[i : i + 1024], mat[i : i + 1024], x[at : at + step], seen, metric)
+                seen += len(x[at : at + step])
+                at += step
+        names = pa.chunked_array(ids).combine_chunks() if seen else None
+        for i in range(0, len(mat) if seen else 0, 4096):
+            r, c = np.nonzero(pos[i : i + 4096] >= 0)
+            yield pa.RecordBatch.from_arrays([asks.take(pa.array(r + i)), names.take(pa.array(pos[r + i, c])), pa.array(dist[r + i, c])], names=["q", "d", "dist"])
+
+    parts = max(data.sparkSession.sparkContext.defaultParallelism, -(-rows // 1_000_000))
+    return data.repartition(parts, "cell_id").sortWithinPartitions("cell_id").mapInArrow(search, schema)
+
+
 def knn(data: DataFrame, query: DataFrame, k: int, *, metric: str = "correlation", drop_self: bool = False, block: int = 4096) -> DataFrame:
     """(q, d, rank, dist) for (cell_id, vec) tables: the k nearest rows of data for each row of query.
 
     Distances are 1 - Pearson correlation or Euclidean, rounded to nine digits; ties go to the smaller id; a cell is
     its own first neighbour unless drop_self. Constant vectors have no correlation and rank last with a null distance.
-    k is clamped to the rows of data. A small side is searched whole on each executor; a larger one meets the queries
-    in a grid of blocks whose best are merged, so no task holds more than one block of each.
+    k is clamped to the rows of data. A small side is held whole by each executor, the searched one or that of the
+    queries, past which the searched rows stream; two large sides meet in a grid of blocks whose best are merged, so no
+    task holds more than one block of each.
     """
     if metric not in ("correlation", "euclidean"):
         raise ValueError("metric is correlation or euclidean")
@@ -69,14 +150,17 @@ def knn(data: DataFrame, query: DataFrame, k: int, *, metric: str = "correlation
     query = query.select("cell_id", "vec")
     id_type = data.schema["cell_id"].dataType.simpleString()
     q_type = query.schema["cell_id"].dataType.simpleString()
-    head = data.limit(BROADCAST_NUMBERS + 1).agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-    rows, dim = head[0], head[1] or 0
+    rows, dim = _size(data)
     schema = f"q {q_type}, d {id_type}, dist double"
-    if rows * max(1, dim) <= BROADCAST_NUMBERS:
+    asks = _size(query)[0] if rows * dim > BROADCAST_NUMBERS // 4 else 0
+    held = asks * max(dim, 2 * want)  # the queries and the nearest of each so far
+    if asks and held <= BROADCAST_NUMBERS and held < rows * dim:
+        best = _streamed(data, query, want, metric, schema, rows)
+    elif rows * dim <= BROADCAST_NUMBERS:
         t = data.toArrow()
         ids = t.column("cell_id").combine_chunks()
         rank_of = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable") if rows else np.zeros(0, int)
-        mat = _prepare(np.array(t.column("vec").to_pylist(), float).reshape(rows, -1), metric) if rows else np.zeros((0, 0))
+        mat = _prepare(_vectors(t.column("vec")), metric) if rows else np.zeros((0, 0))
         shared = data.sparkSession.sparkContext.broadcast((ids, rank_of, mat))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,26 +169,29 @@ def knn(data: DataFrame, query: DataFrame, k: int, *, metric: str = "correlation
             for b in batches:
                 for at in range(0, b.num_rows if len(mat) else 0, step):
                     part = b.slice(at, step)
-                    q = _prepare(np.array(part.column(1).to_pylist(), float), metric)
+                    q = _prepare(_vectors(part.column(1)), metric)
                     cols, dist = _block_top(q, mat, rank_of, want, metric)
                     n = cols.shape[1]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(len(q)), n))), ids.take(pa.array(cols.ravel())), pa.array(dist.ravel())], names=["q", "d", "dist"])
 
         best = query.mapInArrow(search, schema)
     else:
-        nq, nd = max(1, -(-query.count() // block)), max(1, -(-data.count() // block))
-        left = query.select(F.pmod(F.xxhash64("cell_id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("db"), "cell_id", "vec")
-        right = data.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("cell_id"), F.lit(nd)).alias("db"), "cell_id", "vec")
-
-        def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(d):
-                return pd.DataFrame({"q": [], "d": [], "dist": []})
-            rank_of = np.argsort(np.argsort(d["cell_id"].to_numpy(object), kind="stable"), kind="stable")
-            cols, dist = _block_top(_prepare(np.stack(q["vec"]), metric), _prepare(np.stack(d["vec"]), metric), rank_of, want, metric)
+        nq, nd = max(1, -(-asks // block)), max(1, -(-rows // block))
+        # both sides name a block by the same type: keys of two types are hashed to different tasks and never meet
+        own = lambda n: F.pmod(F.xxhash64("cell_id"), F.lit(n)).cast("int")
+        left = query.select(own(nq).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("db"), F.col("cell_id").alias("id"), F.col("vec").alias("v"))
+        right = data.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), own(nd).alias("db"), F.col("cell_id").alias("id"), F.col("vec").alias("v"))  # new names, as both may come from one table
+
+        def meet(q: pa.Table, d: pa.Table) -> pa.Table:
+            ids, names = d.column("id").combine_chunks(), q.column("id").combine_chunks()
+            if not len(ids) or not len(names):
+                return pa.table({"q": names.slice(0, 0), "d": ids.slice(0, 0), "dist": pa.array([], pa.float64())})
+            rank_of = np.argsort(np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable"), kind="stable")
+            cols, dist = _block_top(_prepare(_vectors(q.column("v")), metric), _prepare(_vectors(d.column("v")), metric), rank_of, want, metric)
             n = cols.shape[1]
-            return pd.DataFrame({"q": np.repeat(q["cell_id"].to_numpy(), n), "d": d["cell_id"].to_numpy()[cols.ravel()], "dist": dist.ravel()})
+            return pa.table({"q": names.take(pa.array(np.repeat(np.arange(len(names)), n))), "d": ids.take(pa.array(cols.ravel())), "dist": dist.ravel()})
 
-        best = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInPandas(meet, schema)
+        best = left.groupBy("qb", "db").cogroup(right.groupBy("qb", "db")).applyInArrow(meet, schema)
     if drop_self:
         best = best.where("q <> d")
     by = Window.partitionBy("q").orderBy("dist", "d")

@@ -83,6 +83,30 @@ def test_knn_both_ways(spark, metric, monkeypatch):
     assert abs(d - (1 - np.corrcoef(x[0], x[1])[0, 1])) < 1e-9
 
 
+def spread_over_tasks(spark):
+    """Sets, until reset, what large tables do by themselves: the partitions of a shuffle stay apart."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+
+@pytest.mark.parametrize("metric", ["correlation", "euclidean"])
+@pytest.mark.parametrize("limit", [100, 10])  # 100: the queries are held and the searched side streams; 10: a grid of blocks
+def test_knn_of_large_sides_over_many_tasks(spark, metric, limit, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(400, 5)), 1)
+    x[7], x[11], x[12] = x[3], 1.0, 2.0
+    df = vecs(spark, [(f"c{i:03}", [float(v) for v in x[i]]) for i in range(400)])
+    ask = df.where("cell_id IN ('c003', 'c011', 'c007', 'c200', 'c399')").select(F.expr("int(substr(cell_id, 2))").alias("cell_id"), "vec")
+    take = lambda t: sorted(tuple(r) for r in t.collect())
+    whole = take(knn(df, ask, 4, metric=metric))
+    assert len(whole) == 20 and (metric == "euclidean" or [r[1] for r in whole if r[0] == 11] == ["c000", "c001", "c002", "c003"])
+    monkeypatch.setattr("cellweft.operators.knn.BROADCAST_NUMBERS", limit)
+    spread_over_tasks(spark)
+    try:
+        assert take(knn(df, ask, 4, metric=metric, block=64)) == whole
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_spatial_knn_is_exact(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.normal(size=(80, 3)), rng.normal(size=(40, 3)) * 0.001 + 5, [[1e4, 0, 0]]])

@@ -25,3 +25,14 @@ def test_entry(spark, data_dir):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.queries()["adjacency_clusters"](spark, data_dir).columns == ["f", "g", "score"]
+
+
+@pytest.mark.parametrize("limit", [20_000, 10])  # the side with fewer numbers is held, or none
+@pytest.mark.parametrize("name", ["fastknn_vote"])
+def test_large_sides_match_sql(spark, data_dir, duck, monkeypatch, name, limit):
+    monkeypatch.setattr("cellweft.operators.knn.BROADCAST_NUMBERS", limit)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # partitions stay apart, as those of large tables do
+    try:
+        same_rows(QUERIES[name](spark, data_dir), duck, SQL[name])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
