@@ -383,11 +383,14 @@ sc AS (SELECT r, q, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (n - lo) / (
 
 
 def _nn(spark, d, k=20, full=False):
-    r, q = cite(spark, d), imaging(spark, d)
-    nn = {"rq": knn(q, r, k), "qr": knn(r, q, k)}
+    """The neighbour tables. Only a reference cell near some imaging cell can be in an anchor, so the others ask for nothing."""
+    r, q = stored(cite(spark, d), "cite"), imaging(spark, d)
+    qr = stored(knn(r, q, k), "nn")
+    near = r.join(qr.select(F.col("d").alias("cell_id")).distinct(), "cell_id", "left_semi")
+    nn = {"rq": knn(q, near, k), "qr": qr}
     if full:
         nn |= {"rr": knn(r, r, k + 1), "qq": knn(q, q, k + 1)}
-    return {n: stored(t, "nn") for n, t in nn.items()}
+    return {n: t if n == "qr" else stored(t, "nn") for n, t in nn.items()}
 
 
 def _anchors(spark, d):
