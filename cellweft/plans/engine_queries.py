@@ -389,7 +389,7 @@ def _nn(spark, d, k=20, full=False):
     near = r.join(qr.select(F.col("d").alias("cell_id")).distinct(), "cell_id", "left_semi")
     nn = {"rq": knn(q, near, k), "qr": qr}
     if full:
-        nn |= {"rr": knn(r, r, k + 1), "qq": knn(q, q, k + 1)}
+        nn |= {"rr": knn(r, near, k + 1), "qq": knn(q, q, k + 1)}
     return {n: t if n == "qr" else stored(t, "nn") for n, t in nn.items()}
 
 

@@ -28,7 +28,7 @@ def test_entry(spark, data_dir):
 
 
 @pytest.mark.parametrize("limit", [20_000, 10])  # the side with fewer numbers is held, or none
-@pytest.mark.parametrize("name", ["fastknn_vote", "anchors_mnn"])
+@pytest.mark.parametrize("name", ["fastknn_vote", "anchors_mnn", "anchor_weights"])
 def test_large_sides_match_sql(spark, data_dir, duck, monkeypatch, name, limit):
     monkeypatch.setattr("cellweft.operators.knn.BROADCAST_NUMBERS", limit)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # partitions stay apart, as those of large tables do
