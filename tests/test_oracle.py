@@ -3,6 +3,7 @@
 import pytest
 from conftest import same_rows
 
+from cellweft.operators.knn import knn
 from cellweft.plans import engine_queries, hotkey_queries, spatial_queries
 
 MODULES = (spatial_queries, hotkey_queries, engine_queries)
@@ -28,9 +29,10 @@ def test_entry(spark, data_dir):
 
 
 @pytest.mark.parametrize("limit", [20_000, 10])  # the side with fewer numbers is held, or none
-@pytest.mark.parametrize("name", ["fastknn_vote", "anchors_mnn", "anchor_weights"])
+@pytest.mark.parametrize("name", ["fastknn_vote", "anchors_mnn", "anchor_weights", "integration_vectors"])
 def test_large_sides_match_sql(spark, data_dir, duck, monkeypatch, name, limit):
     monkeypatch.setattr("cellweft.operators.knn.BROADCAST_NUMBERS", limit)
+    monkeypatch.setitem(knn.__kwdefaults__, "block", 64)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # partitions stay apart, as those of large tables do
     try:
         same_rows(QUERIES[name](spark, data_dir), duck, SQL[name])
