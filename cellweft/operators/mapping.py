@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweft.functions.scalar import l2_normalise, standardise
 from cellweft.operators.anchors import anchor_pairs, anchor_weights, apply_correction, filter_anchors, integration_vectors, score_anchors
-from cellweft.operators.knn import find_nn_rna, knn
+from cellweft.operators.knn import knn
 from cellweft.session import stored
 
 
@@ -68,10 +68,16 @@ def correct(ref: DataFrame, query: DataFrame, latent: DataFrame, dim: int, *, nu
     """(cell_id, vec): the query cells moved onto the reference by anchors found in the canonical space."""
     r, q, _ = cca(ref, query, dim, num_cc)
     r, q = stored(r, "space"), stored(q, "space")
-    nn = {name: stored(t, "nn") for name, t in find_nn_rna(r, q, latent, 1, max(k_anchor, k_score)).items()}
-    pairs = anchor_pairs(nn["rq"], nn["qr"], k_anchor)
-    kept = filter_anchors(pairs, knn(query, ref, k_filter), knn(ref, query, k_filter), k_filter)
-    scored = stored(score_anchors(stored(kept, "anchors"), nn, k_score), "anchors")
+    # tables of all cells by all neighbours are not needed: each step asks for the cells that the step before has left
+    k = max(k_anchor, k_score)
+    of = lambda t, ids, side: t.join(ids.select(F.col(side).alias("cell_id")).distinct(), "cell_id", "left_semi")
+    nn = {"qr": stored(knn(r, q, k, metric="euclidean"), "nn")}
+    nn["rq"] = stored(knn(q, of(r, nn["qr"].where(F.col("rank") <= k_anchor), "d"), k, metric="euclidean"), "nn")
+    pairs = stored(anchor_pairs(nn["rq"], nn["qr"], k_anchor), "pairs")
+    kept = stored(filter_anchors(pairs, knn(query, of(ref, pairs, "r"), k_filter), knn(ref, of(query, pairs, "q"), k_filter), k_filter), "anchors")
+    nn["rr"] = stored(knn(latent, of(latent, kept, "r"), k + 1), "nn")
+    nn["qq"] = stored(knn(q, of(q, kept, "q"), k + 1, metric="euclidean"), "nn")
+    scored = stored(score_anchors(kept, nn, k_score), "anchors")
     if not scored.limit(1).count():
         raise ValueError("the two sides have no anchors")
     weights = stored(anchor_weights(scored, query, k_weight), "weights")

@@ -149,6 +149,30 @@ def test_anchor_chain_against_plain_loops(spark):
     assert moved.count() == 30
 
 
+def test_correction_asks_only_for_cells_in_anchors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 6))
+    ref = np.concatenate([base, rng.normal(size=(60, 6))])
+    r, q = vecs(spark, [(f"r{i:02}", v.tolist()) for i, v in enumerate(ref)]), vecs(spark, [(f"q{i:02}", (v + 0.3).tolist()) for i, v in enumerate(base + 0.05 * rng.normal(size=base.shape))])
+    options = dict(k_anchor=2, k_filter=4, k_score=6, k_weight=8)
+    a, b, _ = mapping.cca(r, q, 6)
+    nn = find_nn_rna(a, b, r, 1, 6)
+    kept = anchors.filter_anchors(anchors.anchor_pairs(nn["rq"], nn["qr"], 2), knn(q, r, 4), knn(r, q, 4), 4)
+    scored = anchors.score_anchors(kept, nn, 6)
+    whole = {x["cell_id"]: x["vec"] for x in anchors.apply_correction(q, anchors.integration_vectors(scored, r, q), anchors.anchor_weights(scored, q, 8)).collect()}
+    asked = []
+
+    def counted(data, query, *args, **kw):
+        asked.append((data.count(), query.count()))
+        return knn(data, query, *args, **kw)
+
+    monkeypatch.setattr("cellweft.operators.mapping.knn", counted)
+    monkeypatch.setattr("cellweft.operators.knn.knn", counted)
+    got = {x["cell_id"]: x["vec"] for x in mapping.correct(r, q, r, 6, **options).collect()}
+    assert set(got) == set(whole) and all(np.allclose(got[c], whole[c], atol=1e-9) for c in got)
+    assert any(n == 80 for n, _ in asked) and all(m < 80 for _, m in asked)
+
+
 def test_cca_equals_svd(spark):
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(25, 6)), rng.normal(size=(18, 6))
