@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cellweft.llm.percentiles import bisect_percentiles, combine, summarise
 from cellweft.llm.similar_vectors import Hashing, similar_vectors, sketch, sketch_limit, tuned, unit
-from cellweft.llm.similarity_clusters import Sets, components, jaccard, similarity_clusters, star_links
+from cellweft.llm.similarity_clusters import Sets, bridges, components, jaccard, similarity_clusters, star_links
 
 VEC = "id string, vec array<double>, rep string, key int"
 
@@ -141,6 +141,31 @@ def test_star_links_against_loop():
                 leaders.append(i)
 
 
+@pytest.mark.parametrize("few", [64, 5])  # 5: star by star
+def test_stars_and_bridges_connect_all_similar_pairs(few):
+    rng = np.random.default_rng(3)
+    t = rng.random((90, 64)) < 0.5
+    for i in range(4, 90):  # chains: each is like the one before it, not like all of them
+        t[i] = t[i - 4] ^ (rng.random(64) < 0.12)
+    block, n = np.sort(rng.integers(0, 3, 90)), np.ones(90, np.int64)
+    words, sim = np.packbits(t, axis=1).view(np.uint64), jaccard(t, t)
+
+    def groups(pairs):
+        name = list(range(90))
+        for i, j in pairs:
+            name = [min(name[i], name[j]) if x in (name[i], name[j]) else x for x in name]
+        return name
+
+    x, y = star_links(words, block, n, 0.6)
+    lead = np.arange(90)
+    lead[x] = y
+    u, v = bridges(words, block, lead, 0.6, few=few)
+    assert all(block[i] == block[j] and sim[i, j] >= 0.6 for i, j in zip(u, v))
+    whole = groups([(i, j) for i in range(90) for j in range(i) if block[i] == block[j] and sim[i, j] >= 0.6])
+    assert groups(zip(x, y)) != whole == groups([*zip(x, y), *zip(u, v)])
+    assert len(bridges(words[:0], block[:0], lead[:0], 0.6)[0]) == 0
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200 + rng.randrange(9), 200 + rng.randrange(9)) for _ in range(30)]
