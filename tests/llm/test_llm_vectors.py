@@ -166,6 +166,13 @@ def test_stars_and_bridges_connect_all_similar_pairs(few):
     assert len(bridges(words[:0], block[:0], lead[:0], 0.6)[0]) == 0
 
 
+def test_components_in_rounds_are_those_of_one_task(spark):
+    rng = random.Random(4)
+    edges = spark.createDataFrame([(rng.randrange(150), rng.randrange(150)) for _ in range(90)], "a long, b long")
+    one, rounds = (sorted(tuple(r) for r in components(edges, few=n).collect()) for n in (1_000_000, 0))
+    assert one == rounds
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)] + [(200 + rng.randrange(9), 200 + rng.randrange(9)) for _ in range(30)]
