@@ -38,3 +38,24 @@ def test_large_sides_match_sql(spark, data_dir, duck, monkeypatch, name, limit):
         same_rows(QUERIES[name](spark, data_dir), duck, SQL[name])
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_integration_vectors_with_many_reference_cells(spark, data_dir, tmp_path, monkeypatch):
+    """The shape of a large run: reference cells stream past the imaging cells, and past those near them for their own neighbours."""
+    import duckdb
+
+    c = duckdb.connect()
+    many = f"SELECT cell_id || '_' || n AS cell_id, cite_latent FROM '{data_dir}/cite_latent.parquet', range(20) AS t(n)"  # equal vectors: ties
+    for name, sql in (("cite_latent", many), ("embeddings", f"SELECT * FROM '{data_dir}/embeddings.parquet' ORDER BY vec_id LIMIT 25")):
+        c.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    monkeypatch.setattr("cellweft.operators.knn.BROADCAST_NUMBERS", 40_000)
+    monkeypatch.setitem(knn.__kwdefaults__, "block", 64)
+    streamed, as_is = [], knn.__globals__["_streamed"]
+    monkeypatch.setattr("cellweft.operators.knn._streamed", lambda data, *a: streamed.append(a[-1]) or as_is(data, *a))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        same_rows(QUERIES["integration_vectors"](spark, str(tmp_path)), c, SQL["integration_vectors"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(streamed) == 2 and streamed[0] == streamed[1]  # all reference cells, for the imaging cells and for those near them
